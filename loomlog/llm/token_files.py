@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,17 +73,17 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: in
         for batch, texts in slices(batches):
             ids = [x + end for x in encoder(tokenizer, width).encode(texts)]
             key = batch.column(0)
-            file = np.searchsorted(bounds, np.asarray(pa.compute.fill_null(key, -(1 << 63))), side="left").astype(np.int32)
+            file = np.searchsorted(bounds, np.asarray(pc.fill_null(key, -(1 << 63))), side="left").astype(np.int32)
             yield pa.record_batch({"file": pa.array(file), "doc_id": key, "n_tokens": pa.array([len(x) // width for x in ids], pa.int64()), "frame": pa.array([compress(x) for x in ids], pa.binary())})
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = 0, []
         for batch in batches:
             frames = batch.column(2)
-            length = np.asarray(pa.compute.binary_length(frames)).astype(np.int64)
+            length = np.asarray(pc.binary_length(frames)).astype(np.int64)
             own = np.zeros(batch.num_rows, INDEX)
             key = batch.column(0)
-            own["doc_id"], own["has_id"] = np.asarray(pa.compute.fill_null(key, 0)), np.asarray(key.is_valid().cast(pa.uint8()))
+            own["doc_id"], own["has_id"] = np.asarray(pc.fill_null(key, 0)), np.asarray(key.is_valid().cast(pa.uint8()))
             own["offset"], own["length"], own["n_tokens"] = at + np.cumsum(length + 1) - length - 1, length, np.asarray(batch.column(1))
             at += int(length.sum()) + batch.num_rows
             index.append(own)
