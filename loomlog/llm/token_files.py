@@ -38,11 +38,13 @@ DOCS_PER_FILE = 8_192
 DICTIONARY_ROWS, DICTIONARY_BYTES, DICTIONARY_TEXT = 1_000, 64 * 1024, 20_000
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """A dictionary from the ids of at most DICTIONARY_ROWS texts, those with the smallest hash of doc_id. It affects sizes only, never what is read back. Empty if there is too little text."""
+def train_dictionary(docs: DataFrame, n: int, tokenizer: str, end_id: int, width: int) -> bytes:
+    """A dictionary from the ids of about DICTIONARY_ROWS of the n texts, chosen by a hash of doc_id. It affects sizes only, never what is read back. Empty if there is too little text."""
     import zstandard
 
-    rows = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DICTIONARY_TEXT).alias("text")).orderBy("h", "text").limit(DICTIONARY_ROWS).collect()
+    share = min(1_000_000, 1_000_000 * DICTIONARY_ROWS // max(n, 1) + 1)
+    chosen = docs.where((F.length("text") > 0) & (F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1_000_000)) < share))
+    rows = sorted(chosen.select(F.substring("text", 1, DICTIONARY_TEXT).alias("text")).limit(2 * DICTIONARY_ROWS).collect())
     end = int(end_id).to_bytes(width, "little")
     samples = [x + end for x in encoder(tokenizer, width).encode([r.text for r in rows])]
     try:
@@ -58,9 +60,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: in
     empty table gives one file without documents. Texts are encoded before the shuffle, which moves compressed frames only.
     """
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(docs, tokenizer, end_id, width)
-    spark.createDataFrame([(bytearray(dictionary),)], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(f"{path}/dictionary")
     n = docs.count()
+    dictionary = train_dictionary(docs, n, tokenizer, end_id, width)
+    spark.createDataFrame([(bytearray(dictionary),)], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(f"{path}/dictionary")
     files = max(1, -(-n // docs_per_file))
     bounds = docs.agg(F.percentile_approx("doc_id", [(i + 1) / files for i in range(files - 1)], 100_000)).head()[0] if files > 1 else []
     bounds = np.asarray(bounds or [], dtype=np.int64)

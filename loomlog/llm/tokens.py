@@ -4,18 +4,20 @@
 tokens' strings taken as ordinary text. It cuts a text only where the tokenizer's own first split must cut
 it, and keeps the ids of each such part, so a part that was seen before isn't encoded again:
 
-* byte-level tokenizers: before a single space and around a single line feed, unless two white-space
-  characters meet anywhere in the text (then the whole text goes to the library);
-* tokenizers that drop white space: at spaces and line feeds;
+* byte-level tokenizers: before a single space, around a single line feed and before a stop or comma that ends a
+  word, unless two white-space characters meet anywhere in the text (then the whole text goes to the library);
+* tokenizers that drop white space and case: at spaces and line feeds and before such a stop or comma, after
+  lower-casing texts of Latin letters, for which normalising changes nothing else;
 * any other tokenizer: nowhere.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +25,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts kept per Python worker; the store is emptied when it is full.
-MAX_PARTS = 500_000
+MAX_PARTS = 700_000
 #: Characters of text handed over at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 3_000_000
 
 _NULL = "\x00"
+assert sys.byteorder == "little" and array("I").itemsize == 4
+#: What byte-level tokenizers write for each byte: printable Latin-1 for itself, the others from code point 256 on.
+_BYTE_CHARS = dict(enumerate(range(256)))
+_BYTE_CHARS |= {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _SPACES = re.compile(r"\s\s")
-_SPACE = re.compile(r"\s")
+#: Beyond Latin letters: normalising and changing case may then mean more than str.lower does.
+_FAR = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: A stop or comma between a letter and white space (or the end) is a part of its own.
+_STOP = re.compile(r"(?<=[A-Za-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s|$)")
 
 
 def tokenizer_file(name: str) -> str:
@@ -50,16 +59,13 @@ class Encoder:
         path = tokenizer_file(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width, self.max_parts, self.parts = width, max_parts, {"": b""}
+        self.width, self.max_parts, self.code = width, max_parts, {2: "H", 4: "I"}[width]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if width == 2 and max(spec["model"]["vocab"].values()) > 65_535:
             raise ValueError(f"ids of {name} need more than two bytes")
         self.kind = self._kind(spec)
-        self.mark, self.mark_id = {"bytes": ("\n", None), "words": (" | ", None), "whole": (None, None)}[self.kind]
-        if self.mark:
-            ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-            self.kind, self.mark_id = (self.kind, ids[0]) if len(ids) == 1 else ("whole", None)
+        self.parts = _Parts(self)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -70,64 +76,60 @@ class Encoder:
             return "bytes"
         kinds = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         first = (pre.get("pretokenizers") or [{}])[0]
-        dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in str(first.get("pattern"))
+        dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s\p{L}\p{N}]+" in first.get("pattern", {}).get("Regex", "")
         return "words" if kinds == ["NFC", "Replace", "Lowercase"] and dropped else "whole"
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype=f"<u{self.width}").tobytes()
-
     def _split(self, text: str) -> list[str] | None:
         """The parts of a text, or None if it has to be encoded as a whole."""
         if self.kind == "words":
-            return text.replace("\n", " ").split(" ")
+            if not text.isascii():
+                if _FAR.search(text):
+                    return text.replace("\n", " ").split(" ")
+            return _STOP.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
         if self.kind == "whole" or _NULL in text or _SPACES.search(text):
             return None
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NULL)
+        return _STOP.sub("\x00\\1", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NULL)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.parts) + len(new) > self.max_parts:
-            self.parts = {"": b""}
+    def _plain(self, part: str) -> bool:
+        """Whether the tokenizer's own normaliser and split leave the part as it is: (a space and) Latin letters, for some tokenizers lower-case ones."""
+        if part.isascii():
+            return (part.isalpha() and (self.kind == "bytes" or part.islower())) or (self.kind == "bytes" and part[:1] == " " and part[1:].isalpha())
         if self.kind == "words":
-            odd = [x for x in new if "|" in x]
-        else:
-            odd = [x for x in new if _SPACE.search(x, 1) or x == "\n"]
-        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.parts[x] = self._pack(e.ids)
-        odd_ones = set(odd)
-        plain = [x for x in new if x not in odd_ones] if odd else new
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:  # a part holds the mark after all
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.parts[x] = self._pack(e.ids)
-                continue
-            data, w = ids.tobytes(), self.width
-            at = 0
-            for x, end in zip(part, [*(ends * w).tolist(), len(data)], strict=True):
-                self.parts[x] = data[at:end]
-                at = end + w
+            return part.isalpha() and not _FAR.search(part) and part.lower() == part
+        return (part.isalpha() or (part[:1] == " " and part[1:].isalpha())) and not _FAR.search(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(x) for x in texts]
-        new = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.parts)
-        if new:
-            before = self.parts
-            self._learn(list(new))
-            if self.parts is not before:  # emptied: learn again what these texts need of the old parts
-                rest = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.parts)
-                full, self.max_parts = self.max_parts, 1 << 62
-                self._learn(list(rest))
-                self.max_parts = full
-        get = self.parts.__getitem__
-        whole = [i for i, x in enumerate(split) if x is None]
-        out = [b"" if x is None else b"".join(map(get, x)) for x in split]
+        if len(self.parts) > self.max_parts:
+            self.parts = _Parts(self)
+        get, out, whole = self.parts.__getitem__, [], []
+        for i, text in enumerate(texts):
+            split = self._split(text)
+            if split is None:
+                whole.append(i)
+                out.append(b"")
+            else:
+                out.append(b"".join(map(get, split)))
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = self._pack(e.ids)
+            out[i] = array(self.code, e.ids).tobytes()
         return out
 
 
+class _Parts(dict):
+    """Packed ids of parts. A part that isn't there is encoded: plain ones by the tokenizer's model alone, since its normaliser and split leave them as they are."""
+
+    def __init__(self, owner: Encoder):
+        self[""] = b""
+        self.plain, self.code, self.tokenizer, self.model = owner._plain, owner.code, owner.tokenizer, owner.tokenizer.model
+
+    def __missing__(self, part: str) -> bytes:
+        if self.plain(part):
+            ids = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        else:
+            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
+        self[part] = packed = array(self.code, ids).tobytes()
+        return packed
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
