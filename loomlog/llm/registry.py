@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import packing, separators, token_files
+from . import language, packing, quality, separators, token_files
 
-_MODULES = (token_files, packing, separators)
+_MODULES = (token_files, language, packing, separators, quality)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
