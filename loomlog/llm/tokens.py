@@ -4,9 +4,9 @@
 tokens' strings taken as ordinary text. It cuts a text only where the tokenizer's own first split must cut
 it, and keeps the ids of each such part, so a part that was seen before isn't encoded again:
 
-* byte-level tokenizers: before a single space, around a single line feed and before a stop or comma that ends a
-  word, unless two white-space characters meet anywhere in the text (then the whole text goes to the library);
-* tokenizers that drop white space and case: at spaces and line feeds and before such a stop or comma, after
+* byte-level tokenizers: before a single space, around a single line feed and between letters and the punctuation
+  behind them, unless two white-space characters meet anywhere in the text (then the whole text goes to the library);
+* tokenizers that drop white space and case: at spaces and line feeds and before such punctuation, after
   lower-casing texts of Latin letters, for which normalising changes nothing else;
 * any other tokenizer: nowhere.
 """
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts kept per Python worker; the store is emptied when it is full.
-MAX_PARTS = 700_000
+MAX_PARTS = 300_000
 #: Characters of text handed over at a time.
 SLICE_CHARS = 3_000_000
 
@@ -37,8 +37,8 @@ _BYTE_CHARS |= {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161),
 _SPACES = re.compile(r"\s\s")
 #: Beyond Latin letters: normalising and changing case may then mean more than str.lower does.
 _FAR = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: A stop or comma between a letter and white space (or the end) is a part of its own.
-_STOP = re.compile(r"(?<=[A-Za-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s|$)")
+#: What may follow a word within a part: the tokenizers here always split between letters and these. (An apostrophe may belong to letters.)
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_file(name: str) -> str:
@@ -85,10 +85,10 @@ class Encoder:
             if not text.isascii():
                 if _FAR.search(text):
                     return text.replace("\n", " ").split(" ")
-            return _STOP.sub(r" \1", text.lower()).replace("\n", " ").split(" ")
+            return text.lower().replace("\n", " ").split(" ")
         if self.kind == "whole" or _NULL in text or _SPACES.search(text):
             return None
-        return _STOP.sub("\x00\\1", text).replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NULL)
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NULL)
 
     def _plain(self, part: str) -> bool:
         """Whether the tokenizer's own normaliser and split leave the part as it is: (a space and) Latin letters, for some tokenizers lower-case ones."""
@@ -124,6 +124,8 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         if self.plain(part):
             ids = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
+        elif (word := part.rstrip(_MARKS)) and len(word) < len(part) and self.plain(word):
+            return self.setdefault(part, self[word] + self[part[len(word) :]])
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         self[part] = packed = array(self.code, ids).tobytes()
