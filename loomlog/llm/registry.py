@@ -1,8 +1,8 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontamination, language, packing, quality, separators, token_files
+from . import decontamination, language, licenses, packing, quality, separators, token_files, topk
 
-_MODULES = (token_files, language, packing, separators, decontamination, quality)
+_MODULES = (token_files, language, packing, separators, decontamination, quality, topk, licenses)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
