@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,37 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds to a table with words w its windows: an array of (start, length, print), those of SPAN words with the least hash of their K-grams, and those of the short ``lengths`` with their own hash.
+def _each(size: Column, run: Callable[[str, Column, int], list[Column]], m: int) -> Column:
+    return F.transform(_upto(size), lambda i: F.xxhash64(*run("hw", i, m)))
+
+
+def _picked(n: int, passes: Callable[[Column], Column] | None) -> Column:
+    """The windows of n words whose print passes."""
+    at = _upto(F.size(f"print{n}"))
+    if passes:
+        at = F.filter(at, lambda j: passes(F.get(f"print{n}", j - 1)))
+    return F.transform(at, lambda j: F.struct(j.alias("start"), F.lit(n).alias("length"), F.get(f"print{n}", j - 1).alias("print"), F.array_join(F.slice("w", j, n), " ").alias("window")))
+
+
+def _windows(df: DataFrame, lengths: list[int], passes: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Adds to a table with words w the column windows: an array of (start, length, print, window), those of SPAN words with the least hash of their K-grams, and those of the short ``lengths`` with their own hash; with ``passes``, only those whose print passes.
 
     Each step is a projection whose columns the next uses more than once, so none is worked out again for each element.
     """
+
+    def run(column: str, i: Column, n: int) -> list[Column]:
+        return [F.get(column, i + (t - 1)) for t in range(n)]
+
     df = df.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
-    df = df.withColumn("kg", F.transform(_upto(F.size("hw") - (K - 1)), lambda i: F.xxhash64(F.slice("hw", i, K))))
-    parts = [F.transform(_upto(F.size("kg") - (W - 1)), lambda j: F.struct(j.alias("start"), F.lit(SPAN).alias("length"), F.array_min(F.slice("kg", j, W)).alias("print")))]
-    parts += [F.transform(_upto(F.size("hw") - (m - 1)), lambda i, m=m: F.struct(i.alias("start"), F.lit(m).alias("length"), F.xxhash64(F.slice("hw", i, m)).alias("print"))) for m in lengths]
+    df = df.withColumn("kg", F.transform(_upto(F.size("hw") - (K - 1)), lambda i: F.xxhash64(*run("hw", i, K))))
+    prints = {SPAN: F.transform(_upto(F.size("kg") - (W - 1)), lambda j: F.least(*run("kg", j, W)))}
+    prints |= {m: _each(F.size("hw") - (m - 1), run, m) for m in lengths}
+    df = df.select(*(c for c in df.columns if c not in ("hw", "kg")), *(c.alias(f"print{n}") for n, c in prints.items()))
+    parts = [_picked(n, passes) for n in prints]
     return df.withColumn("windows", F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
-def _known(prints: DataFrame) -> tuple[Column, object]:
+def _known(prints: DataFrame) -> Callable[[Column], Column]:
     """A test for a column of fingerprints: exact for few, by a bitmap of fixed size (built as 64-bit words, so BITMAP / 64 rows at most) for many."""
     few = [r[0] for r in prints.limit(MOST_INLINE + 1).collect()]
     if len(few) <= MOST_INLINE:
@@ -73,7 +92,7 @@ def _benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int], Data
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.size("w")).distinct().collect())
     own = F.filter("windows", lambda x: x["length"] == F.least(F.size("w"), F.lit(SPAN)))
-    wins = _windows(items, short).select("item_id", "w", F.explode(own).alias("x")).select("item_id", F.col("x.print").alias("print"), F.array_join(F.slice("w", F.col("x.start"), F.col("x.length")), " ").alias("window"))
+    wins = _windows(items, short).select("item_id", "w", F.explode(own).alias("x")).select("item_id", F.col("x.print").alias("print"), F.col("x.window").alias("window"))
     return items, short, wins
 
 
@@ -89,9 +108,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    rows = _windows(rows, short).select("row", "doc_id", "w", F.filter("windows", lambda x: passes(x["print"])).alias("windows"))
-    at = F.transform("windows", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"), F.array_join(F.slice("w", x["start"], x["length"]), " ").alias("window")))
-    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(at).alias("x"))
+    rows = _windows(rows, short, passes).select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer("windows").alias("x"))
     # a row without candidates has a key of its own, so that these rows don't meet in one partition
     key = F.coalesce("x.window", F.concat(F.lit("\0"), F.col("row").cast("string")))
     rows = rows.select("row", "doc_id", "n_words", F.col("x.start").alias("start"), F.col("x.length").alias("length"), key.alias("window"))
@@ -117,8 +134,8 @@ def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hit = find(keyed.select(F.col("__loomlog_row").alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__loomlog_row"))
         return keyed.join(hit, "__loomlog_row", "left_anti").select(*docs.columns)
     passes = _known(wins.select("print").distinct())
-    rows = _windows(docs.select(F.struct(*docs.columns).alias("__loomlog_row"), words(F.col("text")).alias("w")), short)
-    shared = F.exists("windows", lambda x: passes(x["print"]) & F.array_join(F.slice("w", x["start"], x["length"]), " ").isin(whole))
+    rows = _windows(docs.select(F.struct(*docs.columns).alias("__loomlog_row"), words(F.col("text")).alias("w")), short, passes)
+    shared = F.exists("windows", lambda x: x["window"].isin(whole))
     return rows.where(~shared).select("__loomlog_row.*")
 
 
