@@ -130,7 +130,7 @@ def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not whole:
         return docs
     if len(whole) > MOST_BROADCAST:
-        keyed = materialize(docs.withColumn("__loomlog_row", F.monotonically_increasing_id()), "keyed")
+        keyed = materialize(docs.withColumn("__loomlog_row", F.monotonically_increasing_id()), "keyed", 16)
         hit = find(keyed.select(F.col("__loomlog_row").alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__loomlog_row"))
         return keyed.join(hit, "__loomlog_row", "left_anti").select(*docs.columns)
     passes = _known(wins.select("print").distinct())

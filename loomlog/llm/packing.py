@@ -214,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", most: int = 2048
     are cut, others never. Repeated rows are packed as often as they occur; null and empty texts hold the end id
     alone; an empty table gives no rows.
     """
-    found = materialize(pieces(docs, tokenizer, most, end_id, with_ids), "pieces")
+    found = materialize(pieces(docs, tokenizer, most, end_id, with_ids), "pieces", 16)
     counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(counts, most))
     salts = max(SALTS, sum(counts.values()) // PER_SALT)

@@ -32,9 +32,13 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    It is written by ``per_core`` tasks for each core of the cluster at most, since a file per shuffle partition would
+    mean mostly tiny files; tables that are worked out from whole texts ask for more.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(per_core * max(spark.sparkContext.defaultParallelism, 1)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
