@@ -92,7 +92,8 @@ def _benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int], Data
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     short = sorted(r[0] for r in items.where(F.size("w") < SPAN).select(F.size("w")).distinct().collect())
     own = F.filter("windows", lambda x: x["length"] == F.least(F.size("w"), F.lit(SPAN)))
-    wins = _windows(items, short).select("item_id", "w", F.explode(own).alias("x")).select("item_id", F.col("x.print").alias("print"), F.col("x.window").alias("window"))
+    # outer: for a plain explode the optimizer would test the array's size first, below all projections, working out everything for each element anew
+    wins = _windows(items, short).select("item_id", "w", F.explode_outer(own).alias("x")).select("item_id", F.col("x.print").alias("print"), F.col("x.window").alias("window"))
     return items, short, wins
 
 
@@ -136,7 +137,9 @@ def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     passes = _known(wins.select("print").distinct())
     rows = _windows(docs.select(F.struct(*docs.columns).alias("__loomlog_row"), words(F.col("text")).alias("w")), short, passes)
     shared = F.exists("windows", lambda x: x["window"].isin(whole))
-    return rows.where(~shared).select("__loomlog_row.*")
+    # the id, which is used for that only, keeps the optimizer from moving the test below the projections that it builds on
+    rows = rows.select("__loomlog_row", shared.alias("__loomlog_shared"), F.monotonically_increasing_id().alias("__loomlog_id"))
+    return rows.where(~F.col("__loomlog_shared") & (F.col("__loomlog_id") >= 0)).select("__loomlog_row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
