@@ -1,4 +1,8 @@
 """All queries of the log engine and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomlog.plans import core
+
+_ALL = [core.R]
+
+QUERIES = {k: v for r in _ALL for k, v in r.queries.items()}
+ORACLE_SQL = {k: v for r in _ALL for k, v in r.sql.items()}
