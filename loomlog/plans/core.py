@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import routing
 from loomlog.operators import delivery, log
 from loomlog.plans import Registry, by_group_patterns
-from loomlog.sources.fixtures import BINDINGS, GROUPS, PARTITION_SIZE, PROLOGUE
+from loomlog.sources.fixtures import BINDINGS, GROUPS, PARTITION_SIZE
 
 R = Registry()
 PATTERNS = by_group_patterns(BINDINGS)
