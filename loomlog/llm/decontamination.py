@@ -74,7 +74,7 @@ def _known(prints: DataFrame) -> Callable[[Column], Column]:
     if len(few) <= MOST_INLINE:
         return (lambda x: x.isin(few)) if few else (lambda x: F.lit(False))
     bit = F.pmod("print", F.lit(BITMAP))
-    rows = prints.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()
+    rows = prints.groupBy((bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(print, {BITMAP}) % 64 AS int))")).alias("bits")).collect()
     bits = [0] * (BITMAP // 64)
     for r in rows:
         bits[r.at] = r.bits

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import materialize
 from .tokens import slices
@@ -227,7 +228,7 @@ def _apply(docs: DataFrame, pairs: DataFrame, schema: object, make: object) -> D
             yield batch.append_column("__loomlog_entities", pa.array(ents, pa.list_(pa.int64())))
 
     keyed = docs.withColumn("__loomlog_row", F.monotonically_increasing_id())
-    keyed = materialize(keyed.mapInArrow(name, keyed.schema.add("__loomlog_entities", "array<long>")), "keyed", 16)
+    keyed = materialize(keyed.mapInArrow(name, T.StructType([*keyed.schema.fields, T.StructField("__loomlog_entities", T.ArrayType(T.LongType()))])), "keyed", 16)
     of_row = keyed.select("__loomlog_row", F.explode("__loomlog_entities").alias("entity")).join(pairs, "entity").groupBy("__loomlog_row").agg(F.collect_set("term").alias("__loomlog_terms"))
     rows = keyed.drop("__loomlog_entities").join(materialize(of_row, "row-terms"), "__loomlog_row", "left").drop("__loomlog_row").select(*docs.columns, "__loomlog_terms")
 
