@@ -155,6 +155,11 @@ def improve(plan: Counter[Pattern], most: int, pairs: int = SEARCH_PAIRS) -> Cou
                     under[p] += n
                     stuck.discard(p)
                     heapq.heappush(queue, (sum(p), p))
+                    again = [s for s in stuck if sum(s) <= sum(p) and _step(s, p, most)]  # the new pattern may help those that nothing helped
+                    looked += len(stuck)
+                    stuck.difference_update(again)
+                    for s in again:
+                        heapq.heappush(queue, (sum(s), s))
             moved = True
             if under[a] > 0:
                 heapq.heappush(queue, (sum(a), a))
@@ -162,6 +167,7 @@ def improve(plan: Counter[Pattern], most: int, pairs: int = SEARCH_PAIRS) -> Cou
                 heapq.heappush(queue, (sum(b), b))
             break
         under = +under
+        stuck.intersection_update(under)
         if not moved:
             stuck.add(a)
     return full + under
