@@ -24,7 +24,7 @@ def abandoned(events: DataFrame) -> DataFrame:
     def us(c: str) -> Column:
         return F.unix_micros(F.col(c).cast("timestamp"))
 
-    return first.agg(F.count("*").alias("total"), F.count_if(F.col("c").isNull()).alias("outstanding"), F.sum(us("c") - us("a")).alias("us"), F.count("c").alias("n")).select("total", "outstanding", F.floor(F.col("us") / F.nullif("n", F.lit(0))).alias("mean_latency_us"))
+    return first.agg(F.count("*").alias("total"), F.count_if(F.col("c").isNull()).alias("outstanding"), F.sum(us("c") - us("a")).alias("us"), F.count("c").alias("n")).select("total", "outstanding", F.expr("us div nullif(n, 0)").alias("mean_latency_us"))
 
 
 def worker_snapshot(workers: DataFrame, instances: DataFrame, owners: DataFrame) -> DataFrame:
