@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.functions import routing
+from loomlog.functions import cron, routing
 from loomlog.operators import control
 from loomlog.operators import log as log_ops
 from loomlog.sources.store import Topic
@@ -24,8 +28,10 @@ class Admin:
         found = self._catalog.read(table)
         return found if found is not None else self.spark.createDataFrame([], schema)
 
+    TOPIC = "name string, version long, partition_size long, path string"
+
     def list_topics(self) -> DataFrame:
-        return self._rows("topic", "name string, version long, partition_size long")
+        return self._rows("topic", self.TOPIC)
 
     def register_topic(self, name: str, version: int = 1, partition_size: int = 10_000) -> Topic:
         """Registering again is the same topic; its partition size can't change."""
@@ -34,7 +40,7 @@ class Admin:
             if known[name, version] != partition_size:
                 raise ValueError("the partition size of a topic can't change")
         else:
-            new = self.spark.createDataFrame([(name, version, partition_size)], "name string, version long, partition_size long")
+            new = self.spark.createDataFrame([(name, version, partition_size, f"{self.root}/{name}/{version}-{uuid.uuid4().hex}")], self.TOPIC)
             self._catalog.commit(self._catalog.version(), append={"topic": new})
         return self.topic(name, version)
 
@@ -42,13 +48,128 @@ class Admin:
         found = self.list_topics().where((F.col("name") == name) & (F.col("version") == version)).head()
         if found is None:
             raise NotFound(f"{name} version {version}")
-        return Topic(self.spark, f"{self.root}/{name}/{version}", found.partition_size)
+        return Topic(self.spark, found.path, found.partition_size)
 
     def destroy_topic(self, name: str, version: int = 1) -> None:
         self.topic(name, version)
         rest = self.list_topics().where(~((F.col("name") == name) & (F.col("version") == version)))
         self._catalog.commit(self._catalog.version(), replace={"topic": rest.coalesce(1)})
 
+    def rename_topic(self, name: str, new: str) -> None:
+        """All versions of a topic get another name; their data stays where it is, since paths go by the name of registration."""
+        rows = self.list_topics()
+        if rows.where(F.col("name") == new).head() is not None:
+            raise ValueError(f"there is a topic {new}")
+        if rows.where(F.col("name") == name).head() is None:
+            raise NotFound(name)
+        self._replace("topic", rows.withColumn("name", F.when(F.col("name") == name, new).otherwise(F.col("name"))))
+
+    def _replace(self, table: str, rows: DataFrame) -> None:
+        self._catalog.commit(self._catalog.version(), replace={table: rows.coalesce(1)})
+
+    def _change(self, table: str, schema: str, key: str, value: str, row: tuple | None) -> None:
+        """Replace the row with this key by another, or by none."""
+        rest = self._rows(table, schema).where(F.col(key) != value)
+        self._replace(table, rest if row is None else rest.unionByName(self.spark.createDataFrame([row], schema)))
+
+    # consumer groups
+
+    GROUP = "topic string, version long, name string, group_id long"
+
+    def list_groups(self, topic: str, version: int = 1) -> DataFrame:
+        return self._rows("group", self.GROUP).where((F.col("topic") == topic) & (F.col("version") == version))
+
+    def register_group(self, topic: str, version: int, name: str) -> int:
+        """The group's id; registering again gives the same."""
+        self.topic(topic, version)
+        rows = self._rows("group", self.GROUP)
+        found = rows.where((F.col("topic") == topic) & (F.col("version") == version) & (F.col("name") == name)).head()
+        if found is not None:
+            return found.group_id
+        group_id = (rows.agg(F.max("group_id")).head()[0] or 0) + 1
+        self._catalog.commit(self._catalog.version(), append={"group": self.spark.createDataFrame([(topic, version, name, group_id)], self.GROUP)})
+        return group_id
+
+    def destroy_group(self, topic: str, version: int, name: str) -> None:
+        """Take the group out of the catalog, and its bindings out of the topic."""
+        rows = self._rows("group", self.GROUP)
+        own = (F.col("topic") == topic) & (F.col("version") == version) & (F.col("name") == name)
+        found = rows.where(own).head()
+        if found is None:
+            raise NotFound(f"group {name}")
+        log = self.topic(topic, version)
+        bound = log.read("binding")
+        if bound is not None:
+            log.commit(log.version(), replace={"binding": bound.where(F.col("group_id") != found.group_id)})
+        self._replace("group", rows.where(~own))
+
+    # scheduled jobs
+
+    CRON = "name string, schedule string, data string, suspended boolean, next_at timestamp_ntz, last_at timestamp_ntz"
+
+    def list_cron_jobs(self) -> DataFrame:
+        return self._rows("cron_job", self.CRON)
+
+    def get_cron_job(self, name: str) -> Row:
+        found = self.list_cron_jobs().where(F.col("name") == name).head()
+        if found is None:
+            raise NotFound(f"job {name}")
+        return found
+
+    def register_cron_job(self, name: str, schedule: str, as_of: datetime, data: str = "{}") -> None:
+        """A new job, or a known one with another schedule or data; it is due at the schedule's next time."""
+        self._change("cron_job", self.CRON, "name", name, (name, schedule, data, False, cron.next_time(schedule, as_of), None))
+
+    def suspend_cron_job(self, name: str) -> None:
+        j = self.get_cron_job(name)
+        self._change("cron_job", self.CRON, "name", name, (*j[:3], True, *j[4:]))
+
+    def unsuspend_cron_job(self, name: str, as_of: datetime) -> None:
+        """The times that passed meanwhile are left out."""
+        j = self.get_cron_job(name)
+        self._change("cron_job", self.CRON, "name", name, (*j[:3], False, cron.next_time(j.schedule, as_of), j.last_at))
+
+    def destroy_cron_job(self, name: str) -> None:
+        self.get_cron_job(name)
+        self._change("cron_job", self.CRON, "name", name, None)
+
+    def tick(self, requests: Topic, as_of: datetime) -> list[str]:
+        """Give each due job one request in ``requests``, for the newest of its times that passed, and move it on; a job without a further time is suspended. The idempotency key is made of job and time, so a tick that is done again adds nothing."""
+        due = self.list_cron_jobs().where((F.col("next_at") <= F.lit(as_of).cast("timestamp_ntz")) & ~F.col("suspended")).orderBy("next_at", "name").collect()
+        rows = []
+        for k, j in enumerate(due):
+            at = j.next_at
+            while (later := cron.next_time(j.schedule, at)) is not None and later <= as_of:
+                at = later
+            rows.append((k, f"{j.name}@{at.isoformat()}", j.name, j.name, 0, json.dumps({"cron_job": j.name, "scheduled_time": at.isoformat(), "data": j.data}), as_of))
+            self._change("cron_job", self.CRON, "name", j.name, (*j[:3], later is None, later, at))
+        if rows:
+            requests.produce(self.spark.createDataFrame(rows, "seq long, idempotency_key string, routing_key string, compaction_key string, compaction_rank long, payload string, created_at timestamp_ntz"))
+        return [j.name for j in due]
+
+    # read models over topics of measurements and alerts
+
+    def list_measurements(self, topic: Topic) -> DataFrame:
+        """The newest message of each series."""
+        return topic.read("heads").join(topic.read("log").select(F.col("id").alias("head_id"), "payload", "created_at"), "head_id").select("compaction_key", "payload", "created_at")
+
+    def list_measurement_messages(self, topic: Topic, series: str, limit: int) -> DataFrame:
+        return log_ops.key_history(topic.read("log"), series, limit)
+
+    def list_alerts(self, topic: Topic) -> DataFrame:
+        """The newest state of each alert."""
+        return self.list_measurements(topic)
+
+    def family_health(self, name: str, cursors: DataFrame, leases: DataFrame, deliveries: DataFrame) -> list[tuple[int, str]]:
+        """(version, verdict) of each version of a topic, over its groups' state."""
+        out = []
+        for r in self.list_topics().where(F.col("name") == name).orderBy("version").collect():
+            topic = self.topic(name, r.version)
+            heads = topic.read("heads")
+            verdict = control.retire_verdict(control.snapshot(cursors, leases, deliveries, topic.head()), heads is not None and not heads.isEmpty())
+            out.append((r.version, verdict.head().verdict))
+        return out
+
     def declare_bindings(self, name: str, version: int, group_id: int, patterns: list[str]) -> None:
         """Replace a group's bindings; patterns with ``*``."""
         topic = self.topic(name, version)

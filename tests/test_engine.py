@@ -134,3 +134,31 @@ def test_streams_match_batches(spark, tmp_path):
     for r in spark.sql("SELECT * FROM heads").collect():
         last[r.compaction_key] = max(last.get(r.compaction_key, (-9, 0)), (r.head_rank, r.head_id))
     assert {k: v[1] for k, v in last.items()} == {r.compaction_key: r.head_id for r in log.heads(rows).collect()}
+
+
+def test_admin_groups_and_renames(spark, tmp_path):
+    admin = Admin(spark, str(tmp_path))
+    admin.register_topic("orders").produce(messages(spark, [(1, "a.x", None, 0)]))
+    assert [admin.register_group("orders", 1, g) for g in ("x", "y", "x")] == [1, 2, 1]
+    admin.declare_bindings("orders", 1, 1, ["b.*"])
+    admin.rename_topic("orders", "sales")
+    assert admin.topic("sales").head() == 1 and [r.id for r in admin.read("sales", 1, 1, 0, 9).collect()] == []
+    with pytest.raises(NotFound):
+        admin.topic("orders")
+    assert admin.family_health("sales", spark.createDataFrame([(1, 1, 1)], "group_id long, claimed long, committed long"), spark.createDataFrame([], "group_id long, low long"), spark.createDataFrame([], "group_id long, message_id long, status string, created_at timestamp_ntz")) == [(1, "safe")]
+
+
+def test_admin_cron_jobs(spark, tmp_path):
+    admin = Admin(spark, str(tmp_path))
+    requests = admin.register_topic("requests")
+    admin.register_cron_job("report", "*/10 * * * *", T)
+    admin.register_cron_job("idle", "@daily", T)
+    admin.suspend_cron_job("idle")
+    assert admin.tick(requests, T + timedelta(minutes=35)) == ["report"]
+    assert admin.tick(requests, T + timedelta(minutes=35)) == []
+    assert admin.get_cron_job("report").next_at == T + timedelta(minutes=40) and admin.get_cron_job("report").last_at == T + timedelta(minutes=30)
+    assert [r.compaction_key for r in admin.list_measurements(requests).collect()] == ["report"]
+    admin.unsuspend_cron_job("idle", T + timedelta(days=3))
+    assert admin.get_cron_job("idle").next_at == T + timedelta(days=4)
+    admin.destroy_cron_job("idle")
+    assert [r.name for r in admin.list_cron_jobs().collect()] == ["report"]
