@@ -56,7 +56,7 @@ def scan(ids: np.ndarray, end_id: int, block: int = BLOCK) -> tuple[np.ndarray,
 def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, docs_per_file: int = DOCS_PER_FILE) -> None:
     """Write the ids of ``docs`` (doc_id, text; other columns are left out) to ``path``/kind=ids and, in the same order, the doc_ids to ``path``/kind=docs.
 
-    The separator is what Spark's text writer puts behind each row. A null or empty text is a separator alone. A null doc_id is kept.
+    The separator is what Spark's text writer puts behind each row. A null or empty text is a separator alone. A null doc_id is kept; an empty table leaves empty folders.
     """
     spark = docs.sparkSession
     end = int(end_id).to_bytes(width, "little")
@@ -74,6 +74,9 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: i
         rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", docs_per_file).text(path)
     finally:
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
+    for kind in ("ids", "docs"):  # an empty table makes no files
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:

@@ -141,6 +141,14 @@ def test_flat_files(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in counts.collect()} == {i: len(ids_of(t)) + 1 for i, t in enumerate(TEXTS)}
 
 
+def test_flat_files_of_null_ids_and_empty_tables(spark, tmp_path):
+    separators.write_flat(docs(spark, ["a b", None], [None, 7]), str(tmp_path / "n"), "byte_bpe_50k.json", 50256)
+    got = separators.count_tokens(spark, str(tmp_path / "n/kind=ids"), 50256).join(separators.doc_ids(spark, str(tmp_path / "n")), ["file", "ordinal"])
+    assert {(r.doc_id, r.n_tokens) for r in got.collect()} == {(None, 3), (7, 1)}
+    separators.write_flat(docs(spark, []), str(tmp_path / "e"), "byte_bpe_50k.json", 50256)
+    assert separators.count_tokens(spark, str(tmp_path / "e/kind=ids"), 50256).count() == separators.doc_ids(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_documents_across_files(spark, tmp_path):
     stream, ends = [5, 0, 5, 5, 5, 5, 0, 0, 5], [0, 3, 5, 9]
     for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
