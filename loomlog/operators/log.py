@@ -19,9 +19,17 @@ def read_range(log: DataFrame, low: int, high: int, size: int | None = None) ->
 
 
 def heads(log: DataFrame) -> DataFrame:
-    """compaction_key, head_id, head_rank: the message of each key with the greatest (rank, id). Partial aggregation leaves a row per key and task to shuffle."""
-    best = F.max(F.struct("compaction_rank", "id"))
-    return log.where("compaction_key IS NOT NULL").groupBy("compaction_key").agg(best.alias("b")).select("compaction_key", F.col("b.id").alias("head_id"), F.col("b.compaction_rank").alias("head_rank"))
+    """compaction_key, head_id, head_rank: the message of each key with the greatest (rank, id).
+
+    First the greatest id of each key and rank, then the greatest rank of each key: both are hash aggregations over longs,
+    with partial sums before either shuffle; the maximum of a struct would sort the whole log.
+    """
+    return _greatest(log.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank")))
+
+
+def _greatest(rows: DataFrame) -> DataFrame:
+    each = rows.groupBy("compaction_key", "head_rank").agg(F.max("head_id").alias("head_id"))
+    return each.groupBy("compaction_key").agg(F.max_by("head_id", "head_rank").alias("head_id"), F.max("head_rank").alias("head_rank"))
 
 
 def compacted(rows: DataFrame, head_of: DataFrame) -> DataFrame:
@@ -36,8 +44,7 @@ def key_history(log: DataFrame, key: str, limit: int) -> DataFrame:
 
 def upsert_heads(old: DataFrame, batch: DataFrame) -> DataFrame:
     """Old heads and the batch's messages, reduced to the greatest (rank, id) of each key."""
-    rows = old.unionByName(batch.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank")))
-    return rows.groupBy("compaction_key").agg(F.max(F.struct("head_rank", "head_id")).alias("b")).select("compaction_key", "b.head_id", "b.head_rank")
+    return _greatest(old.unionByName(batch.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank"))))
 
 
 def append(attempts: DataFrame, known: DataFrame, head: int) -> DataFrame:
