@@ -82,7 +82,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
                 if cosine >= BY_COORDINATE:
                     reach = np.sqrt(max(0.0, (1 - cosine**2) * (1 - at**2))) + 1e-9
                     near = unit[lo:hi, focus]
-                    pick = lo + np.flatnonzero((near >= at * cosine - reach) & ((near <= at * cosine + reach) | (near * at >= at * at * cosine)))
+                    # beyond the query on the side of its sign nothing is too far: the cap may hold the axis itself
+                    pick = lo + np.flatnonzero(((near >= at * cosine - reach) & (near <= at * cosine + reach)) | (near * at >= at * at * cosine))
                 else:
                     pick = slice(lo, lo + int(np.searchsorted(-norm[lo:hi], -(float(least) / length) * (1 - 1e-9), side="right")))
             some = ids[pick]

@@ -140,6 +140,24 @@ def test_top_k(spark, seed, spread):
     assert got == plain_top(vectors, [(i, v) for i, v in vectors if i % 100 == 0], 10)
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_search_of_clusters_about_an_axis(sign):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 60, (2048, 16))
+    x[:, 7] += sign * 1000
+    x[::3] = rng.normal(0, 300, (683, 16))  # longer ones at a low cosine fill the first buckets
+    x[::3, 7] += sign * 600
+    x[::3] *= 1200 / np.linalg.norm(x[::3], axis=1)[:, None]
+    x = x.astype(np.int64)
+    ids = np.arange(len(x))
+    asked = np.flatnonzero(ids % 3)[:60]
+    want = []
+    for i in asked.tolist():
+        score = x @ x[i]
+        want += [(i, int(j), int(score[j])) for j in np.lexsort((ids, -score)) if j != i][:10]
+    assert topk.search(ids, x, ids[asked], x[asked], 10) == want
+
+
 def test_top_k_of_few_and_odd_vectors(spark):
     rows = [(0, [0.5, -0.25], 1), (100, [1.0, None], 1), (1, [float("nan"), 1.0], 1), (2, [float("inf"), 1.0], 1), (3, None, 1), (4, [-0.0001, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
