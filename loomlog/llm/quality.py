@@ -1,11 +1,14 @@
 """Operator 8: a quality classifier by ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector over hashed text features for all grades, and ordered
-thresholds. It gives an expected grade and tail probabilities P(grade >= k) to select by.
+thresholds. It gives an expected grade and tail probabilities P(grade >= k) to select by. One further feature says whether
+a text holds any word that marks toxic documents among the well-formed ones, whatever the length of the text.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +25,13 @@ BITS, ORDERS = 13, (1, 2, 3)
 ROWS_PER_GRADE = 800
 #: Grades: 0 poor, 1 well-formed but toxic, 2 well-formed.
 GRADES = 3
-#: A document is kept if P(grade >= KEEP_GRADE) is KEEP_SHARE at least.
+#: A document is well-formed (keep) if P(grade >= KEEP_GRADE) is KEEP_SHARE at least.
 KEEP_GRADE, KEEP_SHARE = 1, 0.5
+#: It is clean if P(grade >= 2) reaches a threshold, too, chosen on labelled documents that the model hasn't seen; of those of grade 2 this share stays at least.
+CLEAN_KEPT = 0.97
+#: Least log-likelihood ratio at which a word marks toxic documents.
+MARKS = 20.0
+_WORD = re.compile(r"\w+")
 
 
 def _shape(text: str, data: np.ndarray) -> list[str]:
@@ -57,13 +65,25 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, marks: frozenset[str] = frozenset(), least_best: float = 0.0):
+        """``marks``: words of toxic documents, if the last weight is that of their feature; ``least_best``: the threshold of P(grade >= 2)."""
+        self.weights, self.thresholds, self.marks, self.least_best = weights, thresholds, marks, least_best
+
+    def rate(self, text: str) -> np.ndarray:
+        """The tails of a text."""
+        x = features(text)
+        if len(self.weights) > len(x):
+            x = np.append(x, np.float32(not self.marks.isdisjoint(_WORD.findall(text.lower()))))
+        return self.tails(x)
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: falling, since the thresholds rise."""
         return _sigmoid(x @ self.weights - self.thresholds)
 
+    def best_of(self, x: np.ndarray) -> np.ndarray:
+        """P(grade >= 2) of each row."""
+        return _sigmoid(x @ self.weights - self.thresholds[-1])
+
 
 def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 2e-4, steps: int = 300, rate: float = 0.3) -> Model:
     """Least negative log-likelihood with an L2 penalty, by Adam on all rows; each grade weighs the same. Thresholds rise by exp of free parameters."""
@@ -88,6 +108,46 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 2e-4,
     return Model(theta[:d].astype(np.float32), np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])])))
 
 
+def marking_words(words: list[frozenset[str]], y: np.ndarray) -> frozenset[str]:
+    """Words that are in more of the toxic than of the other well-formed documents, by a log-likelihood ratio of MARKS at least. Documents of the same words count once."""
+    toxic, clean = ({w for w, g in zip(words, y.tolist(), strict=True) if g == k} for k in (1, 2))
+    if not toxic or not clean:
+        return frozenset()
+    in_toxic, in_clean = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+    m, n = len(toxic), len(toxic) + len(clean)
+    a = np.array(list(in_toxic.values()), np.float64)
+    b = np.array([in_clean[w] for w in in_toxic], np.float64)
+    cells = ((a, m, a + b), (b, n - m, a + b), (m - a, m, n - a - b), (n - m - b, n - m, n - a - b))
+    ratio = 2 * sum(k * np.log(np.maximum(k, 1e-9) * n / np.maximum(row * column, 1e-9)) for k, row, column in cells)
+    marks = (ratio >= MARKS) & (a * (n - m) > b * m)
+    return frozenset(w for w, mark in zip(in_toxic, marks.tolist(), strict=True) if mark)
+
+
+def fit_marked(x: np.ndarray, y: np.ndarray, words: list[frozenset[str]]) -> Model:
+    """Fit on features and the feature of marking words."""
+    marks = marking_words(words, y)
+    held = np.array([not marks.isdisjoint(w) for w in words], np.float32)
+    model = fit(np.concatenate([x, held[:, None]], 1), y)
+    model.marks = marks
+    return model
+
+
+def least_best(x: np.ndarray, y: np.ndarray, words: list[frozenset[str]]) -> float:
+    """The P(grade >= 2) that tells toxic from other well-formed documents best, each scored by the model of the other half, of those that CLEAN_KEPT of the latter reach. 0, which rejects none, where a half has no toxic or no other well-formed documents."""
+    best, part = np.zeros(len(y)), np.arange(len(y)) % 2
+    for k in (0, 1):
+        learn, held = np.flatnonzero(part == k), np.flatnonzero(part != k)
+        if not {1, 2} <= set(y[learn].tolist()):
+            return 0.0
+        model = fit_marked(x[learn], y[learn], [words[i] for i in learn])
+        marked = np.array([not model.marks.isdisjoint(words[i]) for i in held], np.float32)
+        best[held] = model.best_of(np.concatenate([x[held], marked[:, None]], 1))
+    toxic, clean = np.sort(best[y == 1]), np.sort(best[y == 2])
+    at = np.concatenate([[0.0], clean[: int((1 - CLEAN_KEPT) * len(clean)) + 1]])
+    gain = np.searchsorted(toxic, at) / len(toxic) - np.searchsorted(clean, at) / len(clean)
+    return float(at[gain.argmax()])
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """doc_id and grade from quality and toxic flags. Rows without doc_id or quality are left out; a null toxic counts as 0; of several ratings of a document the lowest holds."""
     good = F.col("quality") > 0
@@ -113,10 +173,10 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
             for key, grade, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
                 x = features(text)
                 at = np.flatnonzero(x)
-                yield pa.record_batch({"doc_id": pa.array([key], pa.int64()), "grade": pa.array([grade], pa.int32()), "at": pa.array([at.astype(np.int16)], pa.list_(pa.int16())), "x": pa.array([x[at]], pa.list_(pa.float32()))})
+                yield pa.record_batch({"doc_id": pa.array([key], pa.int64()), "grade": pa.array([grade], pa.int32()), "at": pa.array([at.astype(np.int16)], pa.list_(pa.int16())), "x": pa.array([x[at]], pa.list_(pa.float32())), "words": pa.array([sorted(set(_WORD.findall(text.lower())))], pa.list_(pa.string()))})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(grades), "doc_id").select("doc_id", "text", "grade")
-    found = rows.mapInArrow(run, "doc_id long, grade int, at array<short>, x array<float>").toArrow()
+    found = rows.mapInArrow(run, "doc_id long, grade int, at array<short>, x array<float>, words array<string>").toArrow()
     keys = found["doc_id"].to_pylist()
     first = sorted({k: i for i, k in reversed(list(enumerate(keys)))}.items(), key=lambda p: (hash_of(p[0]), p[0]))  # one row per document
     y = np.array([found["grade"][i].as_py() for _, i in first], dtype=np.int64)
@@ -125,11 +185,14 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
     x = np.zeros((len(first), 1 << BITS), np.float32)
     for k, (_, i) in enumerate(first):
         x[k, found["at"][i].values.to_numpy()] = found["x"][i].values.to_numpy()
-    return fit(x, y)
+    words = [frozenset(found["words"][i].as_py()) for _, i in first]
+    model = fit_marked(x, y, words)
+    model.least_best = least_best(x, y, words)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, expected_grade, p_good and p_best (tail probabilities of grades 1 and 2) and keep for every row of ``docs`` (doc_id, text).
+    """doc_id, expected_grade, p_good and p_best (tail probabilities of grades 1 and 2), keep (well-formed) and clean (well-formed and not toxic) for every row of ``docs`` (doc_id, text).
 
     Null counts as the empty text. Without a model all is kept, with null scores. Repeated rows are answered as often as they occur.
     """
@@ -138,23 +201,24 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch, texts in slices(batches):
             yield pa.record_batch({"doc_id": batch.column(0), **grade_columns(texts, model)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_good double, p_best double, keep boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, expected_grade double, p_good double, p_best double, keep boolean, clean boolean")
 
 
 def grade_columns(texts: list[str], model: Model | None) -> dict[str, pa.Array]:
     if model is None:
         none = pa.nulls(len(texts), pa.float64())
-        return {"expected_grade": none, "p_good": none, "p_best": none, "keep": pa.array([True] * len(texts))}
-    tails = np.array([model.tails(features(t)) for t in texts]).reshape(len(texts), GRADES - 1)
-    return {"expected_grade": pa.array(tails.sum(1)), "p_good": pa.array(tails[:, 0]), "p_best": pa.array(tails[:, 1]), "keep": pa.array(tails[:, KEEP_GRADE - 1] >= KEEP_SHARE)}
+        return {"expected_grade": none, "p_good": none, "p_best": none, "keep": pa.array([True] * len(texts)), "clean": pa.array([True] * len(texts))}
+    tails = np.array([model.rate(t) for t in texts]).reshape(len(texts), GRADES - 1)
+    keep = tails[:, KEEP_GRADE - 1] >= KEEP_SHARE
+    return {"expected_grade": pa.array(tails.sum(1)), "p_good": pa.array(tails[:, 0]), "p_best": pa.array(tails[:, 1]), "keep": pa.array(keep), "clean": pa.array(keep & (tails[:, 1] >= model.least_best))}
 
 
 def select(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns (whatever their names) and no others."""
+    """The rows of ``docs`` that are clean, with all their columns (whatever their names) and no others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            yield batch.filter(grade_columns(texts, model)["keep"])
+            yield batch.filter(grade_columns(texts, model)["clean"])
 
     return docs.mapInArrow(run, docs.schema) if model is not None else docs
 

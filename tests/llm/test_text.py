@@ -65,6 +65,19 @@ def test_quality_held_out(spark):
     assert sum(r.keep for r in good) / len(good) > 0.99 and sum(not r.keep for r in bad) / len(bad) > 0.95
 
 
+def test_quality_rejects_toxic_documents(spark):
+    table, rated = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), quality.ratings(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    model = quality.train(table, rated.where("doc_id % 2 = 0"))
+    held = rated.where("doc_id % 2 = 1")
+    grade = {r.doc_id: r.grade for r in held.collect()}
+    rows = quality.score(table, model).join(held.select("doc_id"), "doc_id").collect()
+    toxic, best = [r for r in rows if grade[r.doc_id] == 1], [r for r in rows if grade[r.doc_id] == 2]
+    assert all(r.keep or not r.clean for r in rows)
+    assert sum(not r.clean for r in toxic) / len(toxic) > 0.9 and sum(r.clean for r in best) / len(best) > 0.96
+    kept = {r.doc_id for r in quality.select(table.join(held.select("doc_id"), "doc_id"), model).collect()}
+    assert kept == {r.doc_id for r in rows if r.clean}
+
+
 def test_quality_edges(spark):
     one = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 0), (3, 1, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     assert {(r.doc_id, r.grade) for r in quality.ratings(one).collect()} == {(1, 2), (3, 0)}
