@@ -30,8 +30,6 @@ from .tokens import encoder, slices
 
 Pattern = tuple[int, ...]
 
-#: Pairs of patterns that the local search looks at, at most.
-SEARCH_PAIRS = 400_000
 #: Salts within a length, and pieces behind each salt from which on there are more of them.
 SALTS, PER_SALT = 64, 100_000
 
@@ -118,58 +116,85 @@ def _step(a: Pattern, b: Pattern, most: int) -> tuple[Pattern, Pattern] | None:
     return tuple(sorted(left.elements(), reverse=True)), tuple(sorted(right.elements(), reverse=True))
 
 
-def improve(plan: Counter[Pattern], most: int, pairs: int = SEARCH_PAIRS) -> Counter[Pattern]:
-    """Local search: the emptiest pattern gives pieces to, or exchanges them with, fuller underfull ones, for all its sequences at once, until no step helps, the number of sequences is the least possible, or ``pairs`` pairs were looked at."""
+def _gives(a: Pattern) -> tuple[int, int]:
+    """What ``a`` can give, as bit sets of lengths: its pieces, and the sums of two of them."""
+    one = two = 0
+    for i, x in enumerate(a):
+        one |= 1 << x
+        for z in a[i + 1 :]:
+            two |= 1 << (x + z)
+    return one, two
+
+
+def _takes(b: Pattern, most: int) -> tuple[int, int]:
+    """The lengths of single pieces, and of two pieces, that ``b`` can take in a step: by up to its room more than what it gives in return (nothing, one or two pieces; one)."""
+    one, two = _gives(b)
+    out = []
+    for give in (1 | one | two, one):
+        left, reach = most - sum(b), give << 1 if sum(b) < most else 0
+        width = 1
+        while width < left:  # smeared over 1 to ``left``
+            reach |= reach << min(width, left - width)
+            width *= 2
+        out.append(reach)
+    return out[0], out[1]
+
+
+def improve(plan: Counter[Pattern], most: int) -> Counter[Pattern]:
+    """Local search: the emptiest pattern gives pieces to, or exchanges them with, fuller underfull ones, for all its sequences at once, until no step helps or the number of sequences is the least possible. The sum of squared fills grows with each step, so it ends; bit sets tell which pairs have a step."""
     plan = Counter({tuple(sorted(p, reverse=True)): n for p, n in plan.items()})
     total = sum(sum(p) * n for p, n in plan.items())
     least, used = -(-total // most), sum(plan.values())
     under: Counter[Pattern] = Counter({p: n for p, n in plan.items() if sum(p) < most})
     full = plan - under
-    queue = [(sum(p), p) for p in under]
-    heapq.heapify(queue)
-    stuck: set[Pattern] = set()
-    looked = 0
-    while queue and used > least and looked < pairs:
+    order = sorted((sum(p), p) for p in under)
+    queue = list(order)  # a heap, as it is sorted
+    gives, takes = {p: _gives(p) for p in under}, {p: _takes(p, most) for p in under}
+    stuck: dict[Pattern, tuple[int, int, int]] = {}  # with fill and gives
+
+    def helped(a: Pattern) -> Pattern | None:
+        """The emptiest pattern, as full as ``a`` at least, that a step makes fuller."""
+        one, two = gives[a]
+        for k in range(bisect.bisect_left(order, (sum(a),)), len(order)):
+            b = order[k][1]
+            x, xs = takes[b]
+            if (one & x or two & xs) and (b != a or under[b] > 1):
+                return b
+        return None
+
+    while queue and used > least:
         _, a = heapq.heappop(queue)
-        if under[a] <= 0 or a in stuck:
+        if a not in under or a in stuck:
             continue
-        moved = False
-        for b in sorted((p for p, n in under.items() if n > (p == a)), key=sum):
-            if sum(b) < sum(a):
-                continue
-            looked += 1
-            if looked > pairs:
-                break
-            step = _step(a, b, most)
-            if step is None:
-                continue
-            n = min(under[a], under[b]) if a != b else under[a] // 2
-            for p in (a, b):
-                under[p] -= n
-            for p in step:
-                if not p:
-                    used -= n
-                elif sum(p) == most:
-                    full[p] += n
-                else:
-                    under[p] += n
-                    stuck.discard(p)
-                    heapq.heappush(queue, (sum(p), p))
-                    again = [s for s in stuck if sum(s) <= sum(p) and _step(s, p, most)]  # the new pattern may help those that nothing helped
-                    looked += len(stuck)
-                    stuck.difference_update(again)
-                    for s in again:
-                        heapq.heappush(queue, (sum(s), s))
-            moved = True
-            if under[a] > 0:
-                heapq.heappush(queue, (sum(a), a))
-            if under[b] > 0 and b != a:
-                heapq.heappush(queue, (sum(b), b))
-            break
-        under = +under
-        stuck.intersection_update(under)
-        if not moved:
-            stuck.add(a)
+        if (b := helped(a)) is None:
+            stuck[a] = (sum(a), *gives[a])
+            continue
+        n = min(under[a], under[b]) if a != b else under[a] // 2
+        step = _step(a, b, most)
+        for p in (a, b):
+            under[p] -= n
+        for p in step:
+            if not p:
+                used -= n
+            elif sum(p) == most:
+                full[p] += n
+            else:
+                if p not in under:
+                    bisect.insort(order, (sum(p), p))
+                    gives[p], takes[p] = _gives(p), _takes(p, most)
+                under[p] += n
+                stuck.pop(p, None)
+                heapq.heappush(queue, (sum(p), p))
+                fill, (x, xs) = sum(p), takes[p]
+                for s in [s for s, (less, one, two) in stuck.items() if less <= fill and (one & x or two & xs)]:  # the new pattern may help those that nothing helped
+                    heapq.heappush(queue, (stuck.pop(s)[0], s))
+        for p in {a, b}:
+            if under[p] > 0:
+                heapq.heappush(queue, (sum(p), p))
+            elif p in under:
+                del under[p], gives[p], takes[p]
+                order.pop(bisect.bisect_left(order, (sum(p), p)))
+                stuck.pop(p, None)
     return full + under
 
 

@@ -99,6 +99,21 @@ def test_local_search_finds_what_best_fit_misses():
     assert sum(packing.improve(first, 12).values()) == 4 == -(-sum(k * n for k, n in counts.items()) // 12)
 
 
+def test_local_search_ends_only_where_no_step_helps():
+    rng = random.Random(0)
+    counts = Counter(rng.randint(350, 700) for _ in range(4000))
+    plan = packing.plan(counts, 2048)
+    got = Counter()
+    for p, n in plan.items():
+        assert sum(p) <= 2048
+        for x in p:
+            got[x] += n
+    assert got == counts
+    under = [p for p in plan if sum(p) < 2048]
+    assert sum(plan.values()) == -(-sum(k * n for k, n in counts.items()) // 2048) or not any(packing._step(a, b, 2048) for a in under for b in under if sum(a) <= sum(b) and (a != b or plan[a] > 1))
+
+
+
 def test_pack(spark):
     ids_of = library("byte_bpe_50k.json")
     got = packing.pack(docs(spark), most=64, with_ids=True)
