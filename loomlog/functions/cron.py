@@ -28,7 +28,7 @@ def _field(text: str, low: int, high: int, names: dict[str, int]) -> tuple[set[i
             raise ValueError(f"bad step in {text!r}")
         if span in ("*", "?"):
             a, b = low, high
-            star = star or not step
+            star = star or int(step or 1) == 1
         else:
             a_text, dash, b_text = span.partition("-")
             a = names[a_text] if a_text in names else int(a_text)
@@ -40,13 +40,14 @@ def _field(text: str, low: int, high: int, names: dict[str, int]) -> tuple[set[i
 
 
 def next_time(schedule: str, after: datetime) -> datetime | None:
-    """The first time of a schedule after a UTC time, in UTC; None if there is none in YEARS years. Local times that a change of the clock skips don't happen."""
+    """The first time of a schedule after a UTC time, in UTC; None if there is none in YEARS years. Local times that a change of the clock skips don't happen, those that it repeats happen twice."""
     zone, text = ZoneInfo("UTC"), schedule.strip()
     if m := re.match(r"(?:CRON_)?TZ=(\S+)\s+(.*)", text):
         zone, text = ZoneInfo(m[1]), m[2]
     if text.startswith("@every "):
-        seconds = sum(int(n) * _UNITS[u] for n, u in re.findall(r"(\d+)([hms])", text[7:]))
-        if seconds < 1:
+        given = text[7:].strip()
+        seconds = sum(int(n) * _UNITS[u] for n, u in re.findall(r"(\d+)([hms])", given))
+        if seconds < 1 or not re.fullmatch(r"(\d+[hms])+", given):
             raise ValueError(f"not a duration: {schedule!r}")
         return after.replace(microsecond=0) + timedelta(seconds=seconds)
     fields = MACROS.get(text, text).split()
@@ -59,16 +60,25 @@ def next_time(schedule: str, after: datetime) -> datetime | None:
     for _ in range(366 * YEARS + 2):
         on_day, on_weekday = day.day in days, day.isoweekday() % 7 in weekdays
         if day.month in months and ((on_day and on_weekday) if any_day or any_weekday else (on_day or on_weekday)):
-            for h in sorted(hours):
-                for m in sorted(minutes):
-                    local = datetime(day.year, day.month, day.day, h, m, tzinfo=zone)
-                    utc = local.astimezone(UTC)
-                    if utc.astimezone(zone).hour == h and utc.replace(tzinfo=None) > after:
-                        return utc.replace(tzinfo=None)
+            times = (t for h in sorted(hours) for m in sorted(minutes) for t in _moments(datetime(day.year, day.month, day.day, h, m, tzinfo=zone)) if t > after)
+            changes = datetime(day.year, day.month, day.day, tzinfo=zone).utcoffset() != datetime(day.year, day.month, day.day, 23, 59, tzinfo=zone).utcoffset()
+            found = min(times, default=None) if changes else next(times, None)  # where the clock changes, hours needn't be in order
+            if found is not None:
+                return found
         day += timedelta(days=1)
     return None
 
 
+def _moments(local: datetime) -> Iterator[datetime]:
+    """The UTC times at which a clock shows this local time: none, one or two."""
+    seen = set()
+    for fold in (0, 1):
+        utc = local.replace(fold=fold).astimezone(UTC)
+        if utc.astimezone(local.tzinfo).replace(tzinfo=None, fold=0) == local.replace(tzinfo=None, fold=0) and utc not in seen:
+            seen.add(utc)
+            yield utc.replace(tzinfo=None)
+
+
 def next_times(schedules: DataFrame, after: datetime) -> DataFrame:
     """schedule and next_at of a table of schedules."""
 

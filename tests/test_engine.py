@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
-from datetime import datetime, timedelta
+import shutil
+import subprocess
+import sys
+from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pandas as pd
 import pytest
 
+import __spark_entry__
 from loomlog.admin import Admin, NotFound
 from loomlog.functions import cron, routing
 from loomlog.operators import log
@@ -78,6 +84,56 @@ def test_cron_limits():
         cron.next_time("60 * * * *", T)
 
 
+NEW_YORK = [
+    ("2012-03-11T00:00:00-05:00", "0 * * * *", "2012-03-11T01:00:00-05:00"),
+    ("2012-03-11T01:00:00-05:00", "0 * * * *", "2012-03-11T03:00:00-04:00"),
+    ("2012-03-11T00:00:00-05:00", "30 2 11 Mar ?", "2013-03-11T02:30:00-04:00"),
+    ("2012-03-11T00:00:00-05:00", "0 2 * * ?", "2012-03-12T02:00:00-04:00"),
+    ("2012-11-04T00:00:00-04:00", "30 2 04 Nov ?", "2012-11-04T02:30:00-05:00"),
+    ("2012-11-04T01:45:00-04:00", "30 1 04 Nov ?", "2012-11-04T01:30:00-05:00"),
+    ("2012-11-04T00:00:00-04:00", "0 * * * ?", "2012-11-04T01:00:00-04:00"),
+    ("2012-11-04T01:00:00-04:00", "0 * * * ?", "2012-11-04T01:00:00-05:00"),
+    ("2012-11-04T01:00:00-05:00", "0 * * * ?", "2012-11-04T02:00:00-05:00"),
+    ("2012-11-04T00:00:00-04:00", "0 1 * * ?", "2012-11-04T01:00:00-04:00"),
+    ("2012-11-04T01:00:00-04:00", "0 1 * * ?", "2012-11-04T01:00:00-05:00"),
+    ("2012-11-04T01:00:00-05:00", "0 1 * * ?", "2012-11-05T01:00:00-05:00"),
+    ("2012-11-04T02:00:00-05:00", "0 2 * * ?", "2012-11-05T02:00:00-05:00"),
+    ("2012-11-04T00:00:00-04:00", "0 3 3 * ?", "2012-12-03T03:00:00-05:00"),
+]
+
+
+@pytest.mark.parametrize(("at", "schedule", "want"), NEW_YORK)
+def test_cron_where_clocks_change(at, schedule, want):
+    plain = [datetime.fromisoformat(x).astimezone(UTC).replace(tzinfo=None) for x in (at, want)]
+    assert cron.next_time(f"TZ=America/New_York {schedule}", plain[0]) == plain[1]
+
+
+@pytest.mark.parametrize(("schedule", "want"), [("0 0 */1 * mon", "2026-11-30"), ("0 0 */2 * mon", "2026-11-25"), ("0 0 * * mon/1", "2026-11-25"), ("0 0 1 * */1", "2026-12-01")])
+def test_cron_steps_of_one_keep_their_star(schedule, want):
+    assert cron.next_time(schedule, datetime(2026, 11, 24)) == datetime.fromisoformat(want)
+
+
+@pytest.mark.parametrize("bad", ["@every 1h30x garbage", "@every", "@every 0s", "* * * *", "*/0 * * * *", "5-1 * * * *", "a * * * *"])
+def test_cron_refuses_what_it_does_not_understand(bad):
+    with pytest.raises(ValueError):
+        cron.next_time(bad, T)
+
+
+def test_queries_without_the_training_data_operators(spark, tmp_path):
+    """A copy of the tree without the llm folders still offers, and runs, all other queries."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ("loomlog", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif source.exists():
+            shutil.copy(source, tmp_path / name)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) >= 94 and not any(k == 'pipeline' or k[:2] == 'op' and k[2].isdigit() for k in [*q, *s])"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert __spark_entry__.entry(spark).count() > 0
+
+
 def test_store_appends_once_and_prunes(spark, tmp_path):
     topic = Topic(spark, str(tmp_path / "t"), partition_size=4)
     topic.produce(messages(spark, [(1, "a.x", "k1", 0), (2, "", "k1", 0), (3, "a.y", None, 0)]))
