@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, partitions_of, settle
 
 SPAN, K = 10, 5
 W = SPAN - K + 1
@@ -131,7 +131,7 @@ def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if not whole:
         return docs
     if len(whole) > MOST_BROADCAST:
-        keyed = materialize(docs.withColumn("__loomlog_row", F.monotonically_increasing_id()), "keyed", 16)
+        keyed = materialize(docs.withColumn("__loomlog_row", F.monotonically_increasing_id()), "keyed", partitions_of(docs))
         hit = find(keyed.select(F.col("__loomlog_row").alias("doc_id"), "text"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__loomlog_row"))
         return keyed.join(hit, "__loomlog_row", "left_anti").select(*docs.columns)
     passes = _known(wins.select("print").distinct())

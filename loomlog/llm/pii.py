@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import materialize, partitions_of, settle
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -172,7 +172,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
                         contexts.append(zlib.crc32(" ".join(words).encode()))
             yield pa.record_batch({"entity": pa.array(ents, pa.int64()), "terms": pa.array(terms, pa.list_(pa.string())), "context": pa.array(contexts, pa.int64())})
 
-    mentions = materialize(texts.mapInArrow(near, "entity long, terms array<string>, context long"), "mentions", 16)
+    mentions = materialize(texts.mapInArrow(near, "entity long, terms array<string>, context long"), "mentions", partitions_of(texts))
     each = mentions.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
     pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS).drop("contexts")
     pairs = materialize(pairs, "pairs")
@@ -228,7 +228,7 @@ def _apply(docs: DataFrame, pairs: DataFrame, schema: object, make: object) -> D
             yield batch.append_column("__loomlog_entities", pa.array(ents, pa.list_(pa.int64())))
 
     keyed = docs.withColumn("__loomlog_row", F.monotonically_increasing_id())
-    keyed = materialize(keyed.mapInArrow(name, T.StructType([*keyed.schema.fields, T.StructField("__loomlog_entities", T.ArrayType(T.LongType()))])), "keyed", 16)
+    keyed = materialize(keyed.mapInArrow(name, T.StructType([*keyed.schema.fields, T.StructField("__loomlog_entities", T.ArrayType(T.LongType()))])), "keyed", partitions_of(docs))
     of_row = keyed.select("__loomlog_row", F.explode("__loomlog_entities").alias("entity")).join(pairs, "entity").groupBy("__loomlog_row").agg(F.collect_set("term").alias("__loomlog_terms"))
     rows = keyed.drop("__loomlog_entities").join(materialize(of_row, "row-terms"), "__loomlog_row", "left").drop("__loomlog_row").select(*docs.columns, "__loomlog_terms")
 

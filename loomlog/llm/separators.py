@@ -6,7 +6,9 @@ earlier block: the tokens that each block leaves open are carried over by a pref
 blocks and, where a document may cross files, over the files' summaries.
 
 ``write_flat`` makes such files from documents: each task writes its rows' ids to one file and their doc_ids
-(a byte that is 0 for null, then eight bytes) to a file of the same number, so no shuffle moves any text.
+(a byte that is 0 for null, then eight bytes) to a file of the same number, so no shuffle moves any text. Documents
+are handed to the writer in chunks of CHUNK bytes, and a file takes CHUNKS of them, so files are cut by bytes. Only a
+document is never cut: a file of very long ones holds CHUNKS of them at most.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import new_path
+from .storage import new_path, partitions_of, settle
 from .tokens import encoder, slices
 
 #: Ids looked at together.
 BLOCK = 1 << 20
-#: Documents per file at most, which bounds what one task reads at once.
-DOCS_PER_FILE = 20_000
+#: Bytes of ids in a chunk (or one document), and chunks in a file; a task reads a file as a whole.
+CHUNK, CHUNKS = 1 << 20, 128
 
 
 def scan_block(ids: np.ndarray, end_id: int) -> tuple[np.ndarray, int]:
@@ -53,25 +55,38 @@ def scan(ids: np.ndarray, end_id: int, block: int = BLOCK) -> tuple[np.ndarray,
     return np.concatenate([x for x, _ in found]).astype(np.int64), int(carry[-1])
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, docs_per_file: int = DOCS_PER_FILE) -> None:
+def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: int = 2, chunk: int = CHUNK, chunks: int = CHUNKS) -> None:
     """Write the ids of ``docs`` (doc_id, text; other columns are left out) to ``path``/kind=ids and, in the same order, the doc_ids to ``path``/kind=docs.
 
-    The separator is what Spark's text writer puts behind each row. A null or empty text is a separator alone. A null doc_id is kept; an empty table leaves empty folders.
+    The separator stands behind each document's ids; Spark's text writer puts the last one of a chunk there. A null or
+    empty text is a separator alone, and a separator's string in a text is ordinary text. A null doc_id is kept; an empty table leaves empty folders.
     """
     spark = docs.sparkSession
     end = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
-            ids = encoder(tokenizer, width).encode(texts)
-            keys = [bytes(9) if x is None else b"\x01" + x.to_bytes(8, "little", signed=True) for x in batch.column(0).to_pylist()]
-            yield pa.record_batch({"kind": ["ids"] * len(ids) + ["docs"] * len(keys), "value": pa.array(ids + keys, pa.binary())})
+        ids, keys, held = [], [], 0
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch({"kind": ["ids", "docs"], "value": pa.array([end.join(ids), end.join(keys)], pa.binary())})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "kind string, value binary")
+        for batch, texts in slices(batches):
+            for key, own in zip(batch.column(0).to_pylist(), encoder(tokenizer, width, literal=True).encode(texts), strict=True):
+                if ids and held + len(own) > chunk:
+                    yield rows()
+                    ids, keys, held = [], [], 0
+                ids.append(own)
+                keys.append(bytes(9) if key is None else b"\x01" + key.to_bytes(8, "little", signed=True))
+                held += len(own) + width
+        if ids:
+            yield rows()
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = settle(docs.mapInArrow(encode, "kind string, value binary"), partitions_of(docs))
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # both files are open at once: rows keep their order and needn't be sorted
     try:
-        rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", docs_per_file).text(path)
+        rows.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", end.decode("latin-1")).option("maxRecordsPerFile", chunks).text(path)
     finally:
         spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
     for kind in ("ids", "docs"):  # an empty table makes no files
@@ -95,7 +110,7 @@ def count_tokens(spark: SparkSession, path: str, end_id: int, width: int = 2, bl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if content.as_py() is None:
+                if not content.is_valid:
                     continue
                 counts, rest = scan(np.frombuffer(content.as_buffer(), f"<u{width}"), end_id, block)
                 if rest:
@@ -134,7 +149,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, end_id = new_path(spark, "flat-tokens"), 50256
     write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, "byte_bpe_50k.json", end_id)
     counts = count_tokens(spark, f"{path}/kind=ids", end_id)
-    return counts.join(doc_ids(spark, path), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return settle(counts.join(doc_ids(spark, path), ["file", "ordinal"]).select("doc_id", "n_tokens"))
 
 
 QUERIES = {"op5_token_counts": op5_token_counts}

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialize
+from .storage import materialize, partitions_of, settle
 from .tokens import slices
 
 RADIUS, BANDS, WORDS, SEED = 4, 7, 4, 42
@@ -270,7 +270,7 @@ def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
     Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are answered as often as they
     occur. A row with a null doc_id belongs to its group but doesn't name it; a group of such rows only has a null component_id.
     """
-    found = materialize(fingerprints(docs, words), "fingerprints", 16)
+    found = materialize(fingerprints(docs, words), "fingerprints", partitions_of(docs.select("doc_id", "text")))
     nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(links(nodes.select("fp"), radius))
     placed = materialize(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c")), "placed")

@@ -1,4 +1,4 @@
-"""Where intermediate tables go: the folder that the driver and all executors share."""
+"""Where intermediate tables go: the folder that the driver and all executors share, and in how many files."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), a local one that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomlog-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -32,13 +34,28 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame, name: str, per_core: int = 4) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+def tasks(spark: SparkSession, partitions: int) -> int:
+    """Tasks that write a table of so many partitions: four for each core of the cluster, or as many as make eight partitions a task where that is more. A file per partition would mean mostly tiny files."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-partitions // 8), 1)
 
-    It is written by ``per_core`` tasks for each core of the cluster at most, since a file per shuffle partition would
-    mean mostly tiny files; tables that are worked out from whole texts ask for more.
-    """
+
+def partitions_of(docs: DataFrame) -> int:
+    """Partitions of a table as it is read; of one that shuffles make, those that a shuffle makes (counting would run it)."""
+    plan = docs._jdf.queryExecution().executedPlan()
+    if "Adaptive" in plan.getClass().getSimpleName():
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs._jdf.queryExecution().toRdd().getNumPartitions()
+
+
+def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` in ``tasks`` partitions at most; ``partitions``: those it has, by default those that a shuffle makes."""
+    spark = df.sparkSession
+    return df.coalesce(tasks(spark, int(spark.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions))
+
+
+def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder, settled, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(per_core * max(spark.sparkContext.defaultParallelism, 1)).write.parquet(path)
+    settle(df, partitions).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

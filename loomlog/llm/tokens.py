@@ -1,7 +1,7 @@
 """Tokenizing text in executors with the ``tokenizers`` library.
 
-``Encoder`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` with special
-tokens' strings taken as ordinary text. It cuts a text only where the tokenizer's own first split must cut
+``Encoder`` gives exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``. The strings of special
+tokens in a text are those tokens, as the library has it by default, or ordinary text if ``literal`` is set. It cuts a text only where the tokenizer's own first split must cut
 it, and keeps the ids of each such part, so a part that was seen before isn't encoded again:
 
 * byte-level tokenizers: before a single space, around a single line feed and between letters and the punctuation
@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts kept per Python worker; the store is emptied when it is full.
-MAX_PARTS = 300_000
+#: Bytes (about: strings, ids and places in the table) of the parts kept per Python worker; the store is emptied when it is full.
+MAX_PART_BYTES = 48_000_000
 #: Characters of text handed over at a time.
 SLICE_CHARS = 3_000_000
 
@@ -53,19 +53,21 @@ def tokenizer_file(name: str) -> str:
 class Encoder:
     """Ids of texts as bytes: one little-endian unsigned integer of ``width`` bytes per id."""
 
-    def __init__(self, name: str, width: int = 4, max_parts: int = MAX_PARTS):
+    def __init__(self, name: str, width: int = 4, literal: bool = False, most: int = MAX_PART_BYTES):
         from tokenizers import Tokenizer
 
         path = tokenizer_file(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.width, self.max_parts, self.code = width, max_parts, {2: "H", 4: "I"}[width]
+        self.tokenizer.encode_special_tokens = literal
+        self.width, self.code = width, {2: "H", 4: "I"}[width]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        #: Strings that the tokenizer takes out of a text before anything else; texts that may hold one are encoded as a whole.
+        self.added = [t["content"].lower() for t in spec.get("added_tokens", []) if not (literal and t.get("special"))]
         if width == 2 and max(spec["model"]["vocab"].values()) > 65_535:
             raise ValueError(f"ids of {name} need more than two bytes")
         self.kind = self._kind(spec)
-        self.parts = _Parts(self)
+        self.parts = _Parts(self, most)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -81,10 +83,11 @@ class Encoder:
 
     def _split(self, text: str) -> list[str] | None:
         """The parts of a text, or None if it has to be encoded as a whole."""
+        if self.added and "<" in text and any(t in text.lower() for t in self.added):
+            return None
         if self.kind == "words":
-            if not text.isascii():
-                if _FAR.search(text):
-                    return text.replace("\n", " ").split(" ")
+            if not text.isascii() and _FAR.search(text):
+                return text.replace("\n", " ").split(" ")
             return text.lower().replace("\n", " ").split(" ")
         if self.kind == "whole" or _NULL in text or _SPACES.search(text):
             return None
@@ -99,8 +102,6 @@ class Encoder:
         return (part.isalpha() or (part[:1] == " " and part[1:].isalpha())) and not _FAR.search(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.parts) > self.max_parts:
-            self.parts = _Parts(self)
         get, out, whole = self.parts.__getitem__, [], []
         for i, text in enumerate(texts):
             split = self._split(text)
@@ -115,32 +116,44 @@ class Encoder:
 
 
 class _Parts(dict):
-    """Packed ids of parts. A part that isn't there is encoded: plain ones by the tokenizer's model alone, since its normaliser and split leave them as they are."""
+    """Packed ids of parts, ``most`` bytes at most. A part that isn't there is encoded: plain ones by the tokenizer's model alone, since its normaliser and split leave them as they are."""
 
-    def __init__(self, owner: Encoder):
+    def __init__(self, owner: Encoder, most: int):
         self[""] = b""
+        self.most, self.held = most, 0
         self.plain, self.code, self.tokenizer, self.model = owner._plain, owner.code, owner.tokenizer, owner.tokenizer.model
 
     def __missing__(self, part: str) -> bytes:
         if self.plain(part):
             ids = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
         elif (word := part.rstrip(_MARKS)) and len(word) < len(part) and self.plain(word):
-            return self.setdefault(part, self[word] + self[part[len(word) :]])
+            return self._keep(part, self[word] + self[part[len(word) :]])
         else:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        self[part] = packed = array(self.code, ids).tobytes()
+        return self._keep(part, array(self.code, ids).tobytes())
+
+    def _keep(self, part: str, packed: bytes) -> bytes:
+        size = 200 + 2 * len(part) + len(packed)
+        if self.held + size > self.most:
+            self.clear()
+            self[""], self.held = b"", 0
+        if size <= self.most:
+            self[part] = packed
+            self.held += size
         return packed
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 
-def encoder(name: str, width: int = 4) -> Encoder:
-    """One encoder per Python worker; workers are used again, and so are the parts they know."""
+def encoder(name: str, width: int = 4, literal: bool = False) -> Encoder:
+    """The Python worker's encoder; workers are used again, and so are the parts they know. Only one vocabulary's is kept."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if (name, width) not in _encoders:
-        _encoders[name, width] = Encoder(name, width)
-    return _encoders[name, width]
+    key = name, width, literal
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

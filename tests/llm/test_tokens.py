@@ -24,9 +24,10 @@ def docs(spark, texts=TEXTS, keys=None):
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
-def library(name):
+def library(name, literal=False):
     t = Tokenizer.from_file(tokens.tokenizer_file(name))
-    t.encode_special_tokens = True
+    if literal:
+        t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -34,20 +35,29 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+PIECES = st.one_of(st.text(alphabet="aB .,'\n\t|!1éßΣı́İ中\x00😀", max_size=30), st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " ", "<|", "a"]))
+
+
+@pytest.mark.parametrize("literal", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @settings(max_examples=60, deadline=None)
-@given(texts=st.lists(st.text(alphabet="aB .,'\n\t|!1éßΣı́İ中\x00😀", max_size=30), max_size=5))
-def test_encoder_is_the_library(name, texts):
-    known = tokens.encoder(name, 4)
+@given(texts=st.lists(st.lists(PIECES, max_size=4).map("".join), max_size=5))
+def test_encoder_is_the_library(name, literal, texts):
+    known = _ENCODERS.setdefault((name, literal), tokens.Encoder(name, 4, literal, most=2_000))
     assert known.kind != "whole"
-    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [library_of(name)(t) for t in texts]
+    if (name, literal) not in _LIBRARIES:
+        _LIBRARIES[name, literal] = library(name, literal)
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [_LIBRARIES[name, literal](t) for t in texts]
+    assert sum(200 + 2 * len(k) + len(v) for k, v in known.parts.items()) <= 2_200
 
 
-_LIBRARIES = {}
+_LIBRARIES, _ENCODERS = {}, {}
 
 
-def library_of(name):
-    return _LIBRARIES.setdefault(name, library(name))
+def test_a_separators_string_in_a_text():
+    assert np.frombuffer(tokens.encoder("byte_bpe_50k.json", 4).encode(["<|endoftext|>"])[0], "<u4").tolist() == [50256]
+    assert np.frombuffer(tokens.encoder("word_bpe_49k.json", 4).encode(["<|endoftext|>"])[0], "<u4").tolist() == [49407]
+    assert 50256 not in np.frombuffer(tokens.encoder("byte_bpe_50k.json", 4, literal=True).encode(["<|endoftext|>"])[0], "<u4").tolist()
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -59,6 +69,7 @@ def test_token_files_round_trip(spark, tmp_path):
         ids = [*ids_of(TEXTS[i]), 1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) == (i, start, len(ids), crc(ids), ids)
         start += len(ids)
+    assert token_files.manifest(spark, path).count() > 1
     assert token_files.read_document(spark, path, 3) == [[*ids_of(TEXTS[3]), 1]] and token_files.read_document(spark, path, 99) == []
 
 
@@ -66,10 +77,31 @@ def test_token_files_null_and_repeated_ids_and_empty_tables(spark, tmp_path):
     token_files.write(docs(spark, ["b", "a", "c"], [None, 4, 4]), str(tmp_path / "n"), "word_bpe_49k.json")
     got = token_files.read(spark, str(tmp_path / "n")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [None, 4, 4] and [r.start for r in got] == [0, 2, 4]
+    assert len(token_files.read_document(spark, str(tmp_path / "n"), None)) == 1 and len(token_files.read_document(spark, str(tmp_path / "n"), 4)) == 2
     token_files.write(docs(spark, []), str(tmp_path / "e"), "word_bpe_49k.json")
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_of_one_id_are_spread_over_files(spark, tmp_path, key):
+    path = str(tmp_path / "t")
+    token_files.write(docs(spark, [f"text {i % 3}" for i in range(400)] + ["z"], [key] * 400 + [9]), path, "word_bpe_49k.json", docs_per_file=50)
+    held = {r.file: r.docs for r in token_files.manifest(spark, path).collect()}
+    assert len(held) > 5 and max(held.values()) < 120 and sum(held.values()) == 401
+    rows = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [key] * 400 + [9]
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(401)]
+    assert len(token_files.read_document(spark, path, key)) == 400
+
+
+@settings(max_examples=200, deadline=None)
+@given(bounds=st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), max_size=6, unique=True), rows=st.lists(st.tuples(st.integers(-4, 4), st.integers(-4, 4)), max_size=20))
+def test_file_of(bounds, rows):
+    bounds.sort()
+    got = token_files.file_of(np.array(bounds, np.int64).reshape(-1, 2), *(np.array([r[i] for r in rows], np.int64) for i in (0, 1)))
+    assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
+
+
 def test_another_dictionary_is_refused(spark, tmp_path):
     path = str(tmp_path / "t")
     token_files.write(docs(spark), path, "word_bpe_49k.json")
@@ -150,8 +182,9 @@ def test_scan(ids, block):
 
 
 def test_flat_files(spark, tmp_path):
-    path, ids_of = str(tmp_path / "f"), library("byte_bpe_50k.json")
-    separators.write_flat(docs(spark), path, "byte_bpe_50k.json", 50256, docs_per_file=2)
+    path, ids_of = str(tmp_path / "f"), library("byte_bpe_50k.json", literal=True)
+    separators.write_flat(docs(spark), path, "byte_bpe_50k.json", 50256, chunk=40, chunks=2)
+    assert separators._read(spark, f"{path}/kind=ids").count() > 1
     counts = separators.count_tokens(spark, f"{path}/kind=ids", 50256, block=7).join(separators.doc_ids(spark, path), ["file", "ordinal"])
     assert {r.doc_id: r.n_tokens for r in counts.collect()} == {i: len(ids_of(t)) + 1 for i, t in enumerate(TEXTS)}
 
@@ -170,3 +203,57 @@ def test_documents_across_files(spark, tmp_path):
         (tmp_path / f"part-{i}").write_bytes(np.array(stream[a:b], "<u2").tobytes())
     got = separators.count_tokens(spark, str(tmp_path), 0, across=True).orderBy("file", "ordinal").collect()
     assert [r.n_tokens for r in got] == [2, 5, 1, 1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_op1(spark, plain):
+    ids_of, start = library("word_bpe_49k.json"), 0
+    got = {r.doc_id: r for r in token_files.op1_token_files(spark, SF).collect()}
+    assert set(got) == set(plain)
+    for key in sorted(plain):
+        ids = [*ids_of(plain[key]), 1]
+        assert (got[key].start, got[key].n_tokens, got[key].ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+
+
+def test_op3(spark, plain):
+    ids_of = library("byte_bpe_50k.json")
+    rows = packing.op3_packing(spark, SF).collect()
+    want, used = {}, Counter()
+    for key, text in plain.items():
+        ids = [*ids_of(text), 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids), 2048), len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[key, k] = (a, b - a, crc(ids[a:b]))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == used[r.sequence_id]
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048 and len(used) <= -(-sum(used.values()) // 2048) * 1.02 + 1
+
+
+def test_op5(spark, plain):
+    ids_of = library("byte_bpe_50k.json", literal=True)
+    rows = separators.op5_token_counts(spark, SF).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {k: len(ids_of(t)) + 1 for k, t in plain.items()} and len(rows) == len(plain)
+
+
+def test_a_very_long_text(spark, tmp_path):
+    long = "Long words, and more of them. " * 100_000
+    table, ids_of = docs(spark, [long, "a", long]), library("byte_bpe_50k.json")
+    path = str(tmp_path / "f")
+    separators.write_flat(table, path, "byte_bpe_50k.json", 50256)
+    counts = separators.count_tokens(spark, f"{path}/kind=ids", 50256).join(separators.doc_ids(spark, path), ["file", "ordinal"])
+    n = len(ids_of(long))
+    assert {r.doc_id: r.n_tokens for r in counts.collect()} == {0: n + 1, 1: 2, 2: n + 1}
+    token_files.write(table, str(tmp_path / "t"), "byte_bpe_50k.json")
+    assert {r.doc_id: r.n_tokens for r in token_files.read(spark, str(tmp_path / "t")).collect()} == {0: n + 1, 1: 2, 2: n + 1}
+    assert sum(r.length for r in packing.pack(table).collect()) == 2 * (n + 1) + 2
