@@ -3,19 +3,23 @@
 Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers, found by pattern and check digit.
 Their values are the protected entities. Around each mention, words are counted with the entity; over the whole
 corpus, words are counted alone. With N documents, an entity e has the information IC(e) = log2(N / n(e)), and a term t
-gives away PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))) of it. A term that gives away SHARE of an entity's information
-or more, in CONTEXTS different surroundings at least, is a span too in every document that mentions the entity.
+gives away PMI(t; e) = log2(N * n(t, e) / (n(t) * n(e))) of it, n being documents. Few observations tell little, so what a
+term gives away is discounted by c / (c + 1/2), c being the different surroundings in which it stands near the entity (copies
+of a text count once). A term that gives away SHARE of an entity's information or more is a span too in every document
+that mentions the entity. As PMI never exceeds IC, a term needs two surroundings at least.
 Sanitising puts a name of the kind in place of base spans (they are generalised) and removes terms.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +29,10 @@ from .storage import materialize, partitions_of, settle
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of a mention that count as near it, and letters that a term has at least.
-NEAR, LETTERS = 8, 4
-#: Share of an entity's information from which on a term gives it away, and different surroundings in which it must do so.
-SHARE, CONTEXTS = 0.8, 3
+#: Words on either side of a mention that count as near it, those that make its surroundings, and letters that a term has at least.
+NEAR, SURROUNDINGS, LETTERS = 32, 8, 2
+#: Share of an entity's information from which on a term gives it away, and what is added to the surroundings to discount it.
+SHARE, DISCOUNT = 0.75, 0.5
 #: Bits of the map of candidate terms that the corpus count is limited to; it is exact in the end, as counts are joined by term.
 BITS = 1 << 20
 #: Pairs of entity and term up to which these are sent to all executors; more are joined.
@@ -104,45 +108,28 @@ def entity(text: str, span: Span) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind} {value}".encode(), digest_size=8).digest(), "little") >> 1
 
 
-def near_terms(text: str, spans: list[Span]) -> dict[int, set[str]]:
-    """For each entity the lower-case words within NEAR words of its mentions, those inside base spans left out."""
+def near_terms(text: str, spans: list[Span]) -> dict[int, tuple[list[str], int]]:
+    """For each entity the lower-case words within NEAR words of its mentions, sorted, and a checksum of those within SURROUNDINGS; words inside base spans are left out. One pass over the words, then two bisections a mention."""
     masked, at = [], 0
     for start, _, end in spans:
         if start > at:
             masked.append(text[at:start])
         masked.append("0" * (end - max(start, at)))
         at = max(at, end)
-    masked = "".join([*masked, text[at:]])
-    found = list(_WORD.finditer(masked)) if len(text) < 2_000 else None
-    out: dict[int, set[str]] = {}
+    words = list(_WORD.finditer("".join([*masked, text[at:]])))
+    starts, ends = [m.start() for m in words], [m.end() for m in words]
+    near: dict[int, tuple[set[int], set[int]]] = {}
     for span in spans:
-        if found is None:  # only the surroundings of the mention
-            lo, hi = span[0], span[2]
-            before = list(_WORD.finditer(masked, _words_back(masked, lo), lo))[-NEAR:]
-            after = []
-            for m in _WORD.finditer(masked, hi):
-                after.append(m)
-                if len(after) == NEAR:
-                    break
-            near = [*before, *after]
-        else:
-            near = [m for m in found if m.end() <= span[0]][-NEAR:] + [m for m in found if m.start() >= span[2]][:NEAR]
-        out.setdefault(entity(text, span), set()).update(m[0].lower() for m in near)
+        before, after = bisect.bisect_right(ends, span[0]), bisect.bisect_left(starts, span[2])
+        for own, reach in zip(near.setdefault(entity(text, span), (set(), set())), (NEAR, SURROUNDINGS), strict=True):
+            own.update(range(max(before - reach, 0), before), range(after, min(after + reach, len(words))))
+    out = {}
+    for key, numbers in near.items():
+        terms, close = (sorted({words[i][0].lower() for i in own}) for own in numbers)
+        out[key] = terms, zlib.crc32(" ".join(close).encode())
     return out
 
 
-def _words_back(text: str, at: int) -> int:
-    """A position before ``at``, at a word's boundary, with NEAR terms or the text's start between them."""
-    step = 200
-    while True:
-        lo = max(0, at - step)
-        while lo > 0 and text[lo - 1].isalnum():
-            lo -= 1
-        if lo == 0 or len(_WORD.findall(text, lo, at)) >= NEAR:
-            return lo
-        step *= 2
-
-
 def term_spans(text: str, spans: list[Span], terms: frozenset[str]) -> list[Span]:
     """Occurrences of terms outside base spans."""
     out, k = [], 0
@@ -165,28 +152,29 @@ def disclosing(docs: DataFrame) -> DataFrame:
             ents, terms, contexts = [], [], []
             for text in some:
                 if spans := base_spans(text):
-                    for ent, words in near_terms(text, spans).items():
-                        words = sorted(words)
+                    for ent, (words, context) in near_terms(text, spans).items():
                         ents.append(ent)
                         terms.append(words)
-                        contexts.append(zlib.crc32(" ".join(words).encode()))
+                        contexts.append(context)
             yield pa.record_batch({"entity": pa.array(ents, pa.int64()), "terms": pa.array(terms, pa.list_(pa.string())), "context": pa.array(contexts, pa.int64())})
 
     mentions = materialize(texts.mapInArrow(near, "entity long, terms array<string>, context long"), "mentions", partitions_of(texts))
     each = mentions.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS).drop("contexts")
-    pairs = materialize(pairs, "pairs")
-    bits = bytearray(BITS // 8)
-    for (b,) in pairs.select((F.crc32(F.col("term").cast("binary")) % BITS).cast("int")).distinct().collect():
-        bits[b >> 3] |= 1 << (b & 7)
-    bits = bytes(bits)
+    pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("c"))
+    pairs = materialize(pairs.where(F.col("c") / (F.col("c") + DISCOUNT) >= SHARE), "pairs")  # no other pair can reach it
+    bit = F.crc32(F.col("term").cast("binary")) % BITS
+    packed = pairs.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(crc32(CAST(term AS binary)) % {BITS} % 64 AS int))")).alias("bits"))
+    table = np.zeros(BITS // 64, np.int64)
+    for at, word in packed.collect():  # BITS / 64 rows at most
+        table[at] = word
+    bits = table.tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crc = zlib.crc32
         for _, some in slices(batches):
             n: Counter[str] = Counter()
             for text in some:
-                for word in set(_WORD.findall(text.lower())):
+                for word in {w.lower() for w in set(_WORD.findall(text))}:
                     b = crc(word.encode()) % BITS
                     if bits[b >> 3] >> (b & 7) & 1:
                         n[word] += 1
@@ -200,7 +188,8 @@ def disclosing(docs: DataFrame) -> DataFrame:
     rows = pairs.join(alone, "term").join(known, "entity")
     information = F.log2(F.lit(total) / F.col("n_e"))
     given = F.log2(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return materialize(rows.where((information > 0) & (given >= SHARE * information)).select("entity", "term"), "disclosing")
+    sure = F.col("c") / (F.col("c") + DISCOUNT)
+    return materialize(rows.where((information > 0) & (given * sure >= SHARE * information)).select("entity", "term"), "disclosing")
 
 
 def _apply(docs: DataFrame, pairs: DataFrame, schema: object, make: object) -> DataFrame:
@@ -220,7 +209,7 @@ def _apply(docs: DataFrame, pairs: DataFrame, schema: object, make: object) -> D
                     found.append(sorted(spans + term_spans(text, spans, terms)) if terms else spans)
                 yield make(batch, texts, found)
 
-        return docs.mapInArrow(run, schema)
+        return settle(docs.mapInArrow(run, schema), partitions_of(docs))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
@@ -240,7 +229,7 @@ def _apply(docs: DataFrame, pairs: DataFrame, schema: object, make: object) -> D
                 found.append(sorted(spans + term_spans(text, spans, frozenset(terms))) if terms else spans)
             yield make(batch.select(range(batch.num_columns - 1)), texts, found)
 
-    return rows.mapInArrow(run_joined, schema)
+    return settle(rows.mapInArrow(run_joined, schema))
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -139,6 +143,78 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def plain_terms(rows, share=0.75):
+    """(doc_id, start, end) of terms, counted with plain loops."""
+    n, spans, near, alone, mentions = len(rows), {}, {}, Counter(), Counter()
+    word = re.compile(r"[^\W\d_]{2,}")
+    for i, text in rows:
+        spans[i] = base = plain_spans(text)
+        taken = {p for s, _, e in base for p in range(s, e)}
+        words = [(m.start(), m.end(), m[0].lower()) for m in word.finditer("".join("0" if p in taken else c for p, c in enumerate(text)))]
+        alone.update({m[0].lower() for m in word.finditer(text)})
+        by = {}
+        for s, k, e in base:
+            wide, close = by.setdefault((k, text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])), (set(), set()))
+            for own, reach in ((wide, 32), (close, 8)):
+                own |= {w for *_, w in [x for x in words if x[1] <= s][-reach:] + [x for x in words if x[0] >= e][:reach]}
+        for ent, (wide, close) in by.items():
+            mentions[ent] += 1
+            for w in wide:
+                near.setdefault((ent, w), []).append(tuple(sorted(close)))
+    out = {}
+    for (ent, w), contexts in near.items():
+        c, ic = len(set(contexts)), math.log2(n / mentions[ent])
+        if ic > 0 and c / (c + 0.5) >= share and math.log2(n * len(contexts) / (alone[w] * mentions[ent])) * c / (c + 0.5) >= share * ic - 1e-12:
+            out.setdefault(ent, set()).add(w)
+    found = set()
+    for i, text in rows:
+        terms = set().union(*(out.get((k, text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])), set()) for s, k, e in spans[i]))
+        found |= {(i, m.start(), m.end()) for m in word.finditer(text) if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, _, e in spans[i])}
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    entities = ["jo@mail.example.com", "JO@mail.example.com", "ann.li@x.org", "10.0.0.1", "+49 30 1234 5678"]
+    rows = []
+    for i in range(300):
+        body = [rng.choice(["of", "the", "River", "stone", "Li", "grün", "paper"]) + rng.choice(["", "a", "b", "cc"]) for _ in range(rng.randrange(5, 90))]
+        for e in rng.sample(entities, rng.randrange(3) if i % 3 else 0):
+            at = rng.randrange(len(body))
+            body[at:at] = [rng.choice(["zorb", "mira", "of"]) + str(entities.index(e) // 2 * 11).translate({48: "x", 49: "y", 50: "z"}), "at", e] if rng.random() < 0.7 else [e, e]
+        rows.append((i, " ".join(body)))
+    rows += [(1000 + i, rows[5][1]) for i in range(10)]
+    got = {(r.doc_id, s.start, s.end) for r in pii.find(docs(spark, rows)).collect() for s in r.spans if s.kind == "term"}
+    assert got == plain_terms(rows) and got
+
+
+@pytest.mark.parametrize("text", ["ab@cd.ef, " * 100_000, "word " + "ab@cd.ef, " * 100_000 + " word"])
+def test_terms_near_many_mentions_take_linear_time(text):
+    began = time.thread_time()
+    spans = pii.base_spans(text)
+    near = pii.near_terms(text, spans)
+    assert len(spans) == 100_000 and len(near) == 1
+    fast = time.thread_time() - began
+    began = time.thread_time()
+    small = text[: len(text) // 8]
+    pii.near_terms(small, pii.base_spans(small))
+    assert fast < 30 * (time.thread_time() - began) + 1
+
+
+def test_op4(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in pii.op4_pii(spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows) and sum(r.n_email for r in got.values())
+    for r in rows:
+        spans, names = plain_spans(r.text or ""), list(PATTERNS)
+        assert [got[r.doc_id][f"n_{k}"] for k in names] == [sum(names[k] == name for _, k, _ in spans) for name in names]
+        text = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= {*got[r.doc_id].spans.split(","), ""}
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
