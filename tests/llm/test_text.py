@@ -233,22 +233,19 @@ def plain_hits(text, items):
 
 
 @pytest.mark.parametrize("inline", [True, False])
-def test_decontamination_against_brute_force(spark, inline):
+def test_decontamination_against_brute_force(spark, monkeypatch, inline):
     rng = random.Random(4)
     long = [" ".join(rng.choice("abcd") for _ in range(14)) for _ in range(3)]
-    items = [(1, long[0]), (2, long[1]), (2, long[1]), (11, "Éa bb. CC"), (5, "zz"), (6, ""), (7, None), (None, "q w e"), (9, long[0])]
+    items = [(1, long[0]), (2, long[1]), (2, long[1]), (11, "Éa bb. CC"), (5, "zz"), (6, ""), (7, None), (None, "q w e"), (9, long[0]), (12, "a b c d a b"), (13, "d d c c b"), (14, "a a b b c c d d a"), (15, "a b a b a b a b a b a b a b")]
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(60))) for i in range(15)]
     rows += [(20, f"x {long[0]} y! {long[1]}"), (21, None), (22, ""), (23, "éa bb cc"), (24, "Éa, BB\tcc -- zz"), (25, long[2] * 200), (26, "q w e"), (None, "zz"), (20, f"x {long[0]} y! {long[1]}")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    if not inline:
-        decontamination.MOST_INLINE = decontamination.MOST_BROADCAST = 0
-    try:
-        got = sorted(((r.doc_id or -1, r.n_words, r.n_hit, list(r.items)) for r in decontamination.find(docs(spark, rows), bench).collect()))
-        kept = sorted(r.doc_id or -1 for r in decontamination.drop(docs(spark, rows), bench).collect())
-    finally:
-        decontamination.MOST_INLINE, decontamination.MOST_BROADCAST = 100_000, 200_000
+    monkeypatch.setattr(decontamination, "MOST_INLINE", 20_000 if inline else 0)
+    got = sorted(((r.doc_id or -1, r.n_words, r.n_hit, list(r.items)) for r in decontamination.find(docs(spark, rows), bench).collect()))
+    kept = sorted(r.doc_id or -1 for r in decontamination.drop(docs(spark, rows), bench).collect())
     want = sorted((i or -1, *plain_hits(t, [x for x in items if x[0] is not None])) for i, t in rows)
     assert got == want and kept == sorted(i for i, _, n, _ in want if not n)
+    assert decontamination.drop(docs(spark, rows), bench).schema == docs(spark, rows).schema
     assert decontamination.find(docs(spark, []), bench).count() == 0 and decontamination.drop(docs(spark, rows), bench.limit(0)).count() == len(rows)
 
 
