@@ -1,14 +1,20 @@
 """Operator 7: near-duplicates by SimHash, found with BK-trees.
 
 A fingerprint has 64 bits: bit i is 1 if it is set in more than half of the hashes of a text's word shingles. Two texts
-are linked if their fingerprints differ in RADIUS bits at most.
-
-Equal fingerprints are one node of the search. The 64 bits are cut into BANDS; two fingerprints within the radius agree
-in BANDS - RADIUS bands at least, so each is sent to one shard per choice of that many bands, by their bits. A
-shard holds a BK-tree: a node's children are kept by their distance to it, and a search follows only the edges within the
-radius of its own distance. A shard with many fingerprints is dealt out as trees of TREE fingerprints at most, each of which is
-sent, as a broadcast within the shard, to the shard's blocks of queries. A fingerprint keeps one link for each component that it
-meets in a tree, not all pairs; components of the links then give the groups.
+are linked if their fingerprints differ in ``radius`` bits at most.
+
+Fingerprints are dealt to shards, which two that may be linked share; each shard is a BK-tree: a node's children are kept by
+their distance to it, and a search follows only the edges within the radius of its own distance. A shard of more than
+TREE fingerprints is dealt out as blocks, each a tree that is sent to the shard's blocks of queries. The trees of a task are
+built and searched together. A tree gives links that join what all its pairs join, not all pairs; components of the
+links then give the groups. Shards are made in one of two ways:
+
+* ``groups`` (links are a matter of bits alone): the bits are cut into bands. Fingerprints within the radius agree in all
+  but ``radius`` of them, so each goes to a shard per choice of so many bands; there are more bands, and smaller shards,
+  the more fingerprints there are. Every link is found.
+* ``similar_groups`` (links are texts with a Jaccard similarity of their shingles): a shard is a pair of least shingle
+  hashes, PAIRS of them per text, so two texts at 0.8 share none with a probability of 0.0008. The tree is searched with a
+  radius beyond which such texts hardly ever are, and what it finds is compared by shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +23,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -27,21 +32,20 @@ from .components import components
 from .storage import materialize, partitions_of, settle
 from .tokens import slices
 
-RADIUS, BANDS, WORDS, SEED = 4, 7, 4, 42
+RADIUS, WORDS, SEED = 4, 4, 42
 #: Fingerprints in one tree, and in one block of queries, at most (of larger shards in the mean: they are dealt by hash).
-TREE = 8_192
-#: Shards of up to so many fingerprints are compared pair by pair, which is quicker than any tree.
-PAIRS = 16
+TREE = 1_024
+#: Fingerprints in a shard, in the mean, from which on there is one band more.
+PER_SHARD = 256
+#: Near-duplicates by similarity: words of a shingle, Jaccard similarity, pairs of least hashes, and the radius of the search. At 0.8 fingerprints differ in 10 bits (standard deviation 3), a few more in very short texts.
+SIMILAR_WORDS, SIMILARITY, PAIRS, SIMILAR_RADIUS = 5, 0.8, 7, 22
 
-_EDGES = [round(i * 64 / BANDS) for i in range(BANDS + 1)]
-_CHOICES = list(itertools.combinations(range(BANDS), BANDS - RADIUS))
 
-
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """A-Z lower-cased, words split at ASCII white space; a text of fewer words is one shingle, one of none has fingerprint zero."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included. A-Z lower-cased, words split at ASCII white space; a text of fewer words is one shingle, one of none has none."""
     parts = text.encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
@@ -49,11 +53,15 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     n = max(len(parts) - words + 1, 1)
     stop = end[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start, stop, strict=False)), np.uint64, n)
-    return _majority(hashes)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(start, stop, strict=False)), np.uint64, n)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The SimHash of a text; zero without words."""
+    return majority(shingles(text, words))
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """Bits set in more than half of the hashes."""
     count = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
@@ -73,195 +81,169 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-class BKTree:
-    """Fingerprints (distinct) by their distances. Nodes on a level are compared in one vectorised step, so the tree is built and searched for many fingerprints at once."""
-
-    def __init__(self, values: np.ndarray):
-        self.values = values = np.asarray(values, np.uint64)
-        n = len(values)
-        self.child = np.full((n, 65), -1, np.int32)  # by node and distance; 65 distances are all there are
-        where = np.zeros(max(n - 1, 0), np.int32)  # the node at which each further value now stands
-        rest = np.arange(1, n)
-        while len(rest):
-            d = np.bitwise_count(values[where] ^ values[rest]).astype(np.int64)
-            below = self.child[where, d]
-            fresh = np.flatnonzero(below < 0)
-            if len(fresh):  # the first of those that want the same place takes it
-                slot = where[fresh].astype(np.int64) * 65 + d[fresh]
-                _, first = np.unique(slot, return_index=True)
-                took = fresh[first]
-                self.child[where[took], d[took]] = rest[took]
-                keep = np.ones(len(rest), bool)
-                keep[took] = False
-                where, rest, d = where[keep], rest[keep], d[keep]
-                below = self.child[where, d]
-            where = below
-
-    def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query indexes, node indexes) of pairs within the radius, a level of the tree at a time. Pairs are told apart from what is kept of them: the caller reduces each level."""
-        if not len(self.values) or not len(queries):
-            return
+class BKForest:
+    """BK-trees over 64-bit values, built and searched a level at a time for all trees and queries at once."""
+
+    def __init__(self, values: np.ndarray, root: np.ndarray):
+        """``root``: for each value the index of its tree's root; roots are their own."""
+        self.values = np.asarray(values, np.uint64)
+        rest = np.flatnonzero(root != np.arange(len(root)))
+        where, slots, children = root[rest], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(rest):  # of the values that stand at a node at the same distance the first is its child; the others go on from there
+            slot = where * 65 + np.bitwise_count(self.values[where] ^ self.values[rest])
+            places, first, inverse = np.unique(slot, return_index=True, return_inverse=True)
+            slots.append(places)
+            children.append(rest[first])
+            going = np.ones(len(rest), bool)
+            going[first] = False
+            where, rest = rest[first][inverse][going], rest[going]
+        slots, children = np.concatenate(slots), np.concatenate(children)
+        order = np.argsort(slots)
+        #: node * 65 + distance of every edge, ascending, and the child there.
+        self.slots, self.children = slots[order], children[order]
+
+    def search(self, queries: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query indexes, node indexes) of the pairs within the radius; ``root``: the root of the tree to search for each query."""
         queries = np.asarray(queries, np.uint64)
         for lo in range(0, len(queries), 1024):
-            q, node = np.arange(lo, min(lo + 1024, len(queries))), None
-            node = np.zeros(len(q), np.int32)
+            q = np.arange(lo, min(lo + 1024, len(queries)))
+            node = root[q]
             while len(q):
                 d = np.bitwise_count(self.values[node] ^ queries[q]).astype(np.int64)
                 near = d <= radius
                 if near.any():
                     yield q[near], node[near]
-                follow = d[:, None] + np.arange(-radius, radius + 1)[None, :]
-                ok = (follow >= 0) & (follow <= 64)
-                below = np.where(ok, self.child[node[:, None], np.clip(follow, 0, 64)], -1)
-                at = below >= 0
-                q, node = np.repeat(q, at.sum(1)), below[at]
-
-
-def tree_links(nodes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of ``queries`` and of ``nodes`` (both distinct) that join the same components as all pairs within the radius do; one fingerprint fewer than there are in them at most."""
-    values = np.unique(np.concatenate([nodes, queries]))
-    parent = np.arange(len(values))
+                low = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 0), "left")
+                n = np.searchsorted(self.slots, node * 65 + np.minimum(d + radius, 64), "right") - low
+                q, first = np.repeat(q, n), np.repeat(low - np.cumsum(n) + n, n)
+                node = self.children[first + np.arange(len(q))]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays without repeats; 1 if both are empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return float(not len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    same = int((b[at] == a).sum())
+    return same / (len(a) + len(b) - same)
+
+
+def run_links(run: np.ndarray, fp: np.ndarray, is_node: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row indexes) within runs of rows, numbered ascending: between the tree's rows (is_node) and the other ones, or among all if no row of the run is marked. They join what all pairs join. With ``sets``, only pairs of a Jaccard similarity of ``least`` are links."""
+    n = len(run)
+    first = np.searchsorted(run, run)  # of the run
+    marked = np.zeros(n, bool)
+    np.logical_or.at(marked, first, is_node)
+    marked = marked[first]
+    in_tree, asks = is_node | ~marked, ~is_node
+    nodes, queries = np.flatnonzero(in_tree), np.flatnonzero(asks & (n > 1))
+    _, start = np.unique(run[nodes], return_index=True)  # roots
+    at = np.searchsorted(run[nodes][start], run)
+    forest = BKForest(fp[nodes], start[at[nodes]]) if len(nodes) else None
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
-        return i
+        return int(i)
 
     left, right = [], []
-    tree = BKTree(nodes)
-    node_at, query_at = np.searchsorted(values, nodes), np.searchsorted(values, queries)
-    for q, n in tree.search(queries, radius):
-        a, b = query_at[q], node_at[n]
+    for q, m in forest.search(fp[queries], start[at[queries]], radius) if forest else ():
+        a, b = queries[q], nodes[m]
         while True:  # roots of all pairs at once; pairs within a component need no link
             ra, rb = parent[a], parent[b]
             if (parent[ra] == ra).all() and (parent[rb] == rb).all():
                 break
             parent[:] = parent[parent]
-        apart = np.flatnonzero(ra != rb)
-        for i in apart.tolist():
-            x, y = root(int(a[i])), root(int(b[i]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                left.append(int(a[i]))
-                right.append(int(b[i]))
-    return values[left], values[right]
-
-
-def shard_keys(fp: np.ndarray) -> np.ndarray:
-    """(fingerprints, choices): for each choice of bands, its number in the upper six bits and those bands' bits."""
-    fp = fp.astype(np.uint64)
-    out = np.empty((len(fp), len(_CHOICES)), np.uint64)
-    for c, choice in enumerate(_CHOICES):
-        key = np.zeros(len(fp), np.uint64)
-        for b in choice:
-            width = _EDGES[b + 1] - _EDGES[b]
-            key = (key << np.uint64(width)) | ((fp >> np.uint64(_EDGES[b])) & np.uint64((1 << width) - 1))
-        out[:, c] = key | (np.uint64(c) << np.uint64(58))
-    return out
+        for i in np.flatnonzero(ra != rb).tolist():
+            x, y = int(a[i]), int(b[i])
+            if (p := root(x)) != (o := root(y)) and (sets is None or similarity(sets[x], sets[y]) >= least):
+                parent[max(p, o)] = min(p, o)
+                left.append(x)
+                right.append(y)
+    return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _first_choice(xor: np.ndarray) -> np.ndarray:
-    """The number of the first choice of bands in which two fingerprints with this difference agree, so that a pair is reported by one shard only."""
-    same = np.stack([(xor & np.uint64(((1 << (_EDGES[b + 1] - _EDGES[b])) - 1) << _EDGES[b])) == 0 for b in range(BANDS)], 1)
-    first = np.argsort(~same, axis=1, kind="stable")[:, : BANDS - RADIUS]
-    number = {c: i for i, c in enumerate(_CHOICES)}
-    table = np.full((BANDS,) * (BANDS - RADIUS), -1, np.int64)
-    for c, i in number.items():
-        table[c] = i
-    return table[tuple(np.sort(first, 1).T)]
-
-
-def _search_runs(shard: np.ndarray, fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``shard``: small ones by comparing rows 1, 2, ... apart, others by a BK-tree each."""
-    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    of = np.repeat(size, size)
-    small = of <= PAIRS
-    s, f = shard[small], fp[small]
-    for lag in range(1, PAIRS):
-        if len(s) <= lag:
-            break
-        xor = f[lag:] ^ f[:-lag]
-        near = np.flatnonzero((s[lag:] == s[:-lag]) & (np.bitwise_count(xor) <= radius))
-        if len(near):
-            own = near[_first_choice(xor[near]) == (s[near] >> np.uint64(58)).astype(np.int64)]
-            left.append(f[own])
-            right.append(f[own + lag])
-    for i in np.flatnonzero(size > PAIRS).tolist():
-        run = fp[start[i] : start[i] + size[i]]
-        u, v = tree_links(run, run, radius)
-        left.append(u)
-        right.append(v)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: links between the distinct fingerprints ``fp`` that join them as all pairs within the radius do.
-
-    Rows come sorted by shard, so a shard is a run of rows. Runs of more than TREE are passed on and dealt out: every
-    pair of their blocks meets once, the one as a tree and the other as queries.
+def links(rows: DataFrame, radius: int = RADIUS, least: float | None = None, shards: DataFrame | None = None) -> DataFrame:
+    """u, v: links between nodes of ``rows`` (shard, node, fp; with ``least`` also shingles: their ascending hashes, four bytes each) that join them as all pairs of a shard do that are within the radius and, with ``least``, as similar.
+
+    ``shards``: the rows' column shard by itself, where that is cheaper to read. Shards of one row are left out. A row of a larger one meets all blocks of its shard, as part of a tree or as a query: blocks meet once.
     """
+    sizes = materialize((rows if shards is None else shards).groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    placed = rows.join(sizes, "shard").withColumn("blocks", F.ceil(F.col("n") / TREE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    asks = F.transform(F.sequence("own", F.col("blocks") - 1), lambda t: F.struct(t.alias("tree"), F.col("own").alias("block"), F.lit(False).alias("is_node")))
+    holds = F.transform(F.when(F.col("own") > 0, F.sequence(F.lit(0), F.col("own") - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.struct(F.col("own").alias("tree"), b.alias("block"), F.lit(True).alias("is_node")))
+    names = ["node", "fp", *(["shingles"] if least is not None else [])]
+    cells = placed.select("shard", *names, F.explode(F.concat(asks, holds)).alias("x")).select("shard", "x.tree", "x.block", "x.is_node", *names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows of the run that may go on
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            key = [np.asarray(table.column(i).combine_chunks()) for i in range(3)]
+            change = np.zeros(table.num_rows, bool)
+            for k in key:
+                change[1:] |= k[1:] != k[:-1]
+            node, fp = (np.asarray(table.column(i).combine_chunks()).astype(np.int64) for i in (4, 5))
+            sets = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column(6)] if least is not None else None
+            u, v = run_links(np.cumsum(change), fp.astype(np.uint64), np.asarray(table.column(3).combine_chunks().cast(pa.uint8())) > 0, radius, sets, least or 0.0)
+            return pa.record_batch({"u": pa.array(node[u]), "v": pa.array(node[v])})
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch.column(0)).astype(np.int64)
-            k = shard_keys(fp).astype(np.int64)
-            yield pa.record_batch({"shard": pa.array(k.ravel()), "fp": pa.array(np.repeat(fp, k.shape[1]))})
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            same = np.ones(table.num_rows, bool)
+            for i in range(3):
+                k = np.asarray(table.column(i).combine_chunks())
+                same &= k == k[-1]
+            cut = table.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0  # where the last run begins
+            if cut:
+                yield found(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield found(held)
+
+    dealt = cells.repartition("shard", "tree", "block").sortWithinPartitions("shard", "tree", "block")
+    return dealt.mapInArrow(search, "u long, v long")
+
+
+def bands_for(n: int, radius: int) -> int:
+    """Bands for n fingerprints: one more than the radius, or so many that a shard holds PER_SHARD of them at most, if their bits were random."""
+    bands = radius + 1
+    while n > PER_SHARD * 2 ** (64 * (bands - radius) // bands):
+        bands += 1
+    return bands
+
+
+def shard_keys(fp: np.ndarray, radius: int, bands: int) -> np.ndarray:
+    """(fingerprints, choices): for each choice of bands - radius bands, its number in the upper bits and those bands' bits."""
+    fp, edges = fp.astype(np.uint64), [round(i * 64 / bands) for i in range(bands + 1)]
+    choices = list(itertools.combinations(range(bands), bands - radius))
+    out = np.empty((len(fp), len(choices)), np.uint64)
+    for c, choice in enumerate(choices):
+        key = np.full(len(fp), c, np.uint64)
+        for b in choice:
+            width = edges[b + 1] - edges[b]
+            key = (key << np.uint64(width)) | ((fp >> np.uint64(edges[b])) & np.uint64((1 << width) - 1))
+        out[:, c] = key
+    return out
 
-    def rows(u: np.ndarray, v: np.ndarray, shard: np.ndarray | None) -> pa.RecordBatch:
-        none = pa.nulls(len(u), pa.int64())
-        return pa.record_batch({"u": pa.array(u.astype(np.int64)), "v": none if shard is not None else pa.array(v.astype(np.int64)), "shard": pa.array(shard.astype(np.int64)) if shard is not None else none})
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fp, large = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None  # the run that may go on; large: a shard that is passed on
-
-        def runs(upto: int) -> Iterator[pa.RecordBatch]:
-            s, f = shard[:upto], fp[:upto]
-            start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(s)))
-            big = np.repeat((size > TREE) | (s[start] == np.uint64(large) if large is not None else False), size) if len(s) else np.zeros(0, bool)
-            if big.any():
-                yield rows(f[big], f[big], s[big])
-                s, f = s[~big], f[~big]
-                start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-                size = np.diff(np.append(start, len(s)))
-            yield rows(*_search_runs(s, f, start, size, radius), None)
+def bit_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: links between the distinct fingerprints ``fp`` that join them as all pairs within the radius do."""
+    bands = bands_for(fps.count(), radius)
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard = np.concatenate([shard, np.asarray(batch.column(0)).astype(np.uint64)])
-            fp = np.concatenate([fp, np.asarray(batch.column(1)).astype(np.uint64)])
-            if not len(shard):
-                continue
-            last = int(np.searchsorted((shard != shard[-1]).astype(np.int8) * -1, 0)) if shard[0] != shard[-1] else 0
-            if last:
-                yield from runs(last)
-                shard, fp = shard[last:], fp[last:]
-            if len(shard) > TREE or (large is not None and shard[0] == np.uint64(large)):
-                large = int(shard[0])
-                yield rows(fp, fp, shard)
-                shard, fp = shard[:0], fp[:0]
-        if len(shard):
-            yield from runs(len(shard))
-
-    keyed = fps.mapInArrow(keys, "shard long, fp long").repartition("shard").sortWithinPartitions("shard", "fp")
-    found = materialize(keyed.mapInArrow(search, "u long, v long, shard long"), "near")
-    small, big = found.where("shard IS NULL").select("u", "v"), found.where("shard IS NOT NULL").select("shard", F.col("u").alias("fp"))
-    if big.isEmpty():
-        return small
-    sizes = materialize(big.groupBy("shard").agg(F.count("*").alias("n")), "sizes")
-    blocks = F.ceil(F.col("n") / TREE).cast("int")
-    placed = big.join(sizes, "shard").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp", F.lit("block")), F.col("blocks")).cast("int"))
-    # trees 0, 1, ... each meet the blocks of queries up to their own
-    query = placed.select("shard", "fp", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("tree"), F.col("own").alias("block"), F.lit(False).alias("node"))
-    node = placed.where("own > 0").select("shard", "fp", F.col("own").alias("tree"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("block"), F.lit(True).alias("node"))
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        fp, is_node = rows["fp"].to_numpy().astype(np.uint64), rows["node"].to_numpy(dtype=bool)
-        queries = fp[~is_node]
-        u, v = tree_links(fp[is_node] if is_node.any() else queries, queries, radius)
-        return pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64)})
-
-    return small.unionAll(query.unionAll(node).groupBy("shard", "tree", "block").applyInPandas(meet, "u long, v long"))
+            fp = np.asarray(batch.column(0)).astype(np.int64)
+            k = shard_keys(fp, radius, bands).astype(np.int64)
+            yield pa.record_batch({"shard": pa.array(k.ravel()), "node": pa.array(np.repeat(fp, k.shape[1])), "fp": pa.array(np.repeat(fp, k.shape[1]))})
+
+    return links(materialize(fps.mapInArrow(keys, "shard long, node long, fp long"), "shards"), radius)
 
 
 def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -272,18 +254,67 @@ def groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFra
     """
     found = materialize(fingerprints(docs, words), "fingerprints", partitions_of(docs.select("doc_id", "text")))
     nodes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(links(nodes.select("fp"), radius))
+    linked = components(bit_links(nodes.select("fp"), radius))
     placed = materialize(nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("c")), "placed")
     named = materialize(placed.groupBy("c").agg(F.min("least").alias("component_id")), "named")
     labels = materialize(placed.join(named, "c").select("fp", "component_id"), "labels")
-    return found.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return settle(found.join(labels, "fp").select("doc_id", "fp", "component_id"))
+
+
+def least_pairs(hashes: np.ndarray, pairs: int = PAIRS) -> np.ndarray:
+    """For each pair of random orders of all hashes, one number for the two that come first; the same for all texts without any."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    order = np.arange(1, 2 * pairs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.empty(2 * pairs, np.uint64)
+    for k in range(2 * pairs):
+        mixed = (hashes ^ order[k]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        least[k] = (mixed ^ (mixed >> np.uint64(29))).min()
+    both = least.reshape(-1, 2)
+    return (both[:, 0] * np.uint64(0xD6E8FEB86659FD93) ^ both[:, 1]) + order[:pairs]
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id that links reach) of the rows of ``docs`` (doc_id, text; other columns are left out) that have a doc_id and share their group with another doc_id.
+
+    Equal texts are one node. Different ones are linked at a Jaccard similarity of ``least`` between their sets of ``words``-word
+    shingles (as 32-bit hashes). Null counts as empty; texts without words are alike. Rows of one doc_id may have different texts.
+    """
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            hashes = [np.unique(shingles(t, words)) for t in texts]
+            yield pa.record_batch({"doc_id": batch.column(0), "digest": batch.column(1), "fp": pa.array(np.array([majority(h) for h in hashes], np.uint64).astype(np.int64)), "shards": pa.array([least_pairs(h).astype(np.int64) for h in hashes], pa.list_(pa.int64()))})
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            yield pa.record_batch({"node": batch.column(0), "shingles": pa.array([np.unique(shingles(t, words).astype(np.uint32)).tobytes() for t in texts], pa.binary())})
+
+    n = partitions_of(own)
+    found = materialize(own.mapInArrow(prints, "doc_id long, digest string, fp long, shards array<long>").withColumn("node", F.monotonically_increasing_id()), "prints", n)
+    nodes = found.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("shards").alias("shards"))
+    nodes = materialize(nodes, "nodes")
+    spread = nodes.select(F.explode("shards").alias("shard"), "node")
+    shared = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    meeting = materialize(spread.join(shared, "shard").distinct(), "meeting")
+    # whole shingle sets are worked out for texts that meet another one only, from one row of each text
+    asked = materialize(nodes.join(meeting.select("node").distinct(), "node", "left_semi").select(F.col("least").alias("doc_id"), "digest", "node", "fp"), "asked")
+    texts = own.join(asked, ["doc_id", "digest"]).select("node", "text")
+    held = materialize(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    rows = meeting.join(held, "node").join(asked.select("node", "fp"), "node")
+    linked = components(links(rows.select("shard", "node", "fp", "shingles"), radius, least, meeting))
+    placed = materialize(nodes.join(linked, "node", "left").select("digest", "copies", "least", F.coalesce("component", "node").alias("c"), F.col("component").isNotNull().alias("linked")).where("linked OR copies > 1"), "placed")
+    named = materialize(placed.groupBy("c").agg(F.min("least").alias("component_id")), "named")
+    labels = materialize(placed.join(named, "c").select("digest", "component_id"), "labels")
+    return found.select("doc_id", "digest").join(labels, "digest").select("doc_id", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id names their group: one document of each. Rows without a doc_id stay, and so do rows that repeat the doc_id that stays."""
-    gone = groups(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__loomlog_doc")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__loomlog_doc"), "left_anti")
+def deduplicate(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id names their group of similar texts: one document of each. Rows without a doc_id stay, and so do rows that repeat the doc_id that stays."""
+    gone = similar_groups(docs, words, least).where("doc_id <> component_id").select(F.col("doc_id").alias("__loomlog_doc")).distinct()
+    return docs.join(materialize(gone, "gone"), F.col("doc_id") == F.col("__loomlog_doc"), "left_anti")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,32 +58,47 @@ def cluster_values(rng, n, bits):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_tree_finds_all_pairs(seed):
-    v = np.array(cluster_values(random.Random(seed), 300, 8), np.uint64)
-    tree = simhash.BKTree(v)
-    got = {(int(a), int(b)) for q, n in tree.search(v, 4) for a, b in zip(q, n, strict=True)}
-    want = {(i, j) for i in range(len(v)) for j in range(len(v)) if int(v[i] ^ v[j]).bit_count() <= 4}
-    assert got == want
-    u, w = simhash.tree_links(v, v)
-    assert len(u) < len(v)
-    index = {int(x): i for i, x in enumerate(v)}
-    pairs = {(index[int(a)], index[int(b)]) for a, b in zip(u, w, strict=True)}
-    assert pairs <= want
-    assert plain_components(range(len(v)), lambda a, b: (a, b) in pairs or (b, a) in pairs) == plain_components(v.tolist(), lambda a, b: (a ^ b).bit_count() <= 4)
-
-
-@pytest.mark.parametrize("tree", [8_192, 20])
-def test_links_join_what_all_pairs_join(spark, tree):
+@pytest.mark.parametrize("radius", [4, 20])
+def test_trees_find_all_pairs(seed, radius):
+    rng = random.Random(seed)
+    v = np.array(cluster_values(rng, 300, 8) * 2, np.uint64)  # equal ones, too
+    rng.shuffle(tree := [i % 3 for i in range(len(v))])
+    tree = np.array(tree)
+    roots = np.array([int(np.flatnonzero(tree == k)[0]) for k in range(3)])
+    forest = simhash.BKForest(v, roots[tree])
+    got = [(int(a), int(b)) for q, n in forest.search(v, roots[tree], radius) for a, b in zip(q, n, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(v)) for j in range(len(v)) if tree[i] == tree[j] and int(v[i] ^ v[j]).bit_count() <= radius}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_of_runs(seed):
+    rng = random.Random(seed)
+    v = np.array(cluster_values(rng, 240, 8), np.uint64)
+    rng.shuffle(order := list(range(len(v))))
+    v, run, is_node = v[order], np.repeat([0, 1, 2, 3], 60), np.zeros(240, bool)
+    is_node[70:100] = is_node[179] = True  # two runs of a tree and its queries
+    u, w = simhash.run_links(run, v, is_node, 4)
+    pairs = set(zip(u.tolist(), w.tolist(), strict=True))
+
+    def near(i, j):
+        meet = run[i] == run[j] and (run[i] in (0, 3) or is_node[i] != is_node[j])
+        return meet and int(v[i] ^ v[j]).bit_count() <= 4
+
+    assert all(near(a, b) for a, b in pairs) and len(pairs) < len(v)
+    assert plain_components(range(len(v)), lambda a, b: (a, b) in pairs or (b, a) in pairs) == plain_components(range(len(v)), near)
+
+
+@pytest.mark.parametrize(("tree", "per_shard"), [(1_024, 256), (20, 256), (1_024, 1e-3)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, tree, per_shard):
     rng = random.Random(7)
     values = cluster_values(rng, 400, 9)
     values += sorted({values[0] ^ (1 << a) ^ (1 << b) for a in range(30) for b in range(a)} - set(values))
     signed = [x - (1 << 64) if x >> 63 else x for x in values]
-    before, simhash.TREE = simhash.TREE, tree
-    try:
-        links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3))
-        got = {r.node: r.component for r in components.components(links).collect()}
-    finally:
-        simhash.TREE = before
+    monkeypatch.setattr(simhash, "TREE", tree)
+    monkeypatch.setattr(simhash, "PER_SHARD", per_shard)
+    assert simhash.bands_for(len(values), 4) == (5 if per_shard > 1 else 6)
+    links = simhash.bit_links(spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3))
+    got = {r.node: r.component for r in components.components(links).collect()}
     want = plain_components(values, lambda a, b: (a ^ b).bit_count() <= 4)
     named = {}
     for x, c in zip(signed, want, strict=True):
@@ -91,6 +106,77 @@ def test_links_join_what_all_pairs_join(spark, tree):
     assert [got.get(x, x) for x in signed] == [named[c] for c in want]
 
 
+@pytest.mark.parametrize("radius", [0, 2, 4, 7])
+def test_shards_hold_all_pairs(radius):
+    rng = random.Random(radius)
+    for bands in (radius + 1, radius + 3):
+        x = np.array([rng.getrandbits(64) for _ in range(200)], np.uint64)
+        y = np.array([int(v) ^ sum(1 << b for b in rng.sample(range(64), radius)) for v in x.tolist()], np.uint64)
+        assert (simhash.shard_keys(x, radius, bands) == simhash.shard_keys(y, radius, bands)).any(1).all()
+
+
+def sets_of(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("tree", [1_024, 8])
+def test_similar_groups_against_brute_force(spark, monkeypatch, tree):
+    monkeypatch.setattr(simhash, "TREE", tree)
+    rng = random.Random(11)
+    texts = []
+    for n in (3, 6, 12, 40, 150, 400):
+        for _ in range(4):
+            base = [rng.choice("abcdefghij") * rng.randrange(1, 4) for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(6):
+                own = list(base)
+                for _ in range(rng.randrange(1 + n // 20)):
+                    own[rng.randrange(n)] = "x" * rng.randrange(1, 9)
+                texts.append(" ".join(own) + rng.choice(["", " more", "\n"]))
+    texts += [None, "", " \t", "One two", "one  TWO", "x y " * 3000, "x y " * 3000 + "z"]
+    rows = [(i * 3 + 1, t, "clash", "clash") for i, t in enumerate(texts)] + [(1, texts[0], "c", "c"), (None, texts[2], "c", "c"), (4000, texts[1], "c", "c")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string, node string")
+    mine = [(i, sets_of(t)) for i, t, *_ in rows if i is not None]
+    want = plain_components([s for _, s in mine], lambda a, b: jaccard(a, b) >= 0.8)
+    least = {}
+    for (i, _), c in zip(mine, want, strict=True):
+        least[c] = min(least.get(c, i), i)
+    expected = {i: least[c] for (i, _), c in zip(mine, want, strict=True)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert all(expected[i] == c for i, c in got.items()) and all(i in got for i, c in expected.items() if i != c)
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, *_ in rows if i is None or expected[i] == i)
+    assert simhash.similar_groups(df.limit(0)).count() == 0
+
+
+def test_similar_groups_recall(spark):
+    """Of all pairs at 0.8 or more in a test table at least 0.99 share a group, and no group holds anything else than such pairs join."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = table.select("doc_id", "text").collect()
+    ids, sets = [r.doc_id for r in rows], [sets_of(r.text) for r in rows]
+    by, pairs = {}, set()
+    for k, s in enumerate(sets):
+        for x in s:
+            by.setdefault(x, []).append(k)
+    common = Counter(p for ks in by.values() if len(ks) < 200 for i, a in enumerate(ks) for p in ((a, b) for b in ks[i + 1 :]))
+    pairs = {p for p in common if jaccard(sets[p[0]], sets[p[1]]) >= 0.8}
+    group = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    together = sum(ids[a] in group and group[ids[a]] == group.get(ids[b]) for a, b in pairs)
+    assert len(pairs) > 50 and together >= 0.99 * len(pairs)
+    joined = {}
+    for a, b in pairs:
+        joined.setdefault(ids[a], set()).add(ids[b])
+        joined.setdefault(ids[b], set()).add(ids[a])
+    assert all(i == c or i in joined for i, c in group.items() if len(sets[ids.index(i)]))
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(40)]
@@ -116,12 +202,19 @@ def test_groups(spark):
             least[c] = min(least.get(c, i), i)
     expected = Counter((i, p - (1 << 64) if p >> 63 else p, least.get(c)) for (i, *_), p, c in zip(rows, prints, want, strict=True))
     assert Counter((r.doc_id, r.fp, r.component_id) for r in got) == expected
-    kept = simhash.deduplicate(df)
-    assert kept.columns == df.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for (i, *_), c in zip(rows, want, strict=True) if i is None or i == least[c])
     assert simhash.groups(df.limit(0)).count() == 0
 
 
+def test_op7(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    want = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for r, c in zip(rows, want, strict=True):
+        least[c] = min(least.get(c, r.doc_id), r.doc_id)
+    assert {tuple(r) for r in simhash.op7_simhash(spark, SF).collect()} == {(r.doc_id, f"{p:016x}", least[c]) for r, p, c in zip(rows, prints, want, strict=True)}
+
+
 def plain_top(vectors, queries, k):
     out = []
     for key, q in queries:
@@ -185,8 +278,7 @@ def test_pipeline(spark, tmp_path):
         assert set(rows) <= kept[-1]
         if name == "near-dedup":
             ids = sorted(old)
-            prints = [plain_fingerprint(old[i].text) for i in ids]
-            want = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+            want = plain_components([sets_of(old[i].text) for i in ids], lambda a, b: jaccard(a, b) >= 0.8)
             assert set(rows) == {ids[c] for c in want}
         elif name == "decontamination":
             hit = {r.doc_id for r in decontamination.find(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").collect()}
