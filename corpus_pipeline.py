@@ -19,7 +19,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each SimHash group (four-word shingles, four bits, as in op7_simhash)."""
+    """One document, that of the smallest doc_id, of each group of texts with a Jaccard similarity of 0.8 or more (five-word shingles; SimHash trees give the candidates)."""
     return simhash.deduplicate(docs)
 
 
