@@ -47,13 +47,13 @@ DICTIONARY_ROWS, DICTIONARY_TEXT, DICTIONARY_BYTES = 1_000, 16_384, 64 * 1024
 _NONE = -(1 << 63)
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> bytes:
-    """A dictionary from the whole id arrays of DICTIONARY_ROWS texts of up to DICTIONARY_TEXT bytes, those of the lowest hashes. It affects sizes only, never what is read back. Empty if there is too little text."""
+def train_dictionary(docs: DataFrame, n: int, tokenizer: str, end_id: int, width: int) -> bytes:
+    """A dictionary from the whole id arrays of up to DICTIONARY_ROWS texts of up to DICTIONARY_TEXT bytes: of twice as many of the n rows (in the mean) that a hash of their place picks, those of the lowest hashes. It affects sizes only, never what is read back. Empty if there is too little text."""
     import zstandard
 
-    size = F.octet_length("text")
-    chosen = docs.where((size > 0) & (size <= DICTIONARY_TEXT)).select("text", F.xxhash64("doc_id", "text", F.lit("dictionary")).alias("h"))
-    rows = chosen.orderBy("h", "text").limit(DICTIONARY_ROWS).collect()
+    size, mixed = F.octet_length("text"), F.xxhash64("hash", F.lit("dictionary"))
+    picked = F.pmod(mixed, F.lit(1 << 40)) < min(1 << 40, (2 * DICTIONARY_ROWS << 40) // max(n, 1) + 1)
+    rows = docs.where((size > 0) & (size <= DICTIONARY_TEXT) & picked).select("text", mixed.alias("h")).orderBy("h").limit(DICTIONARY_ROWS).collect()
     end = int(end_id).to_bytes(width, "little")
     samples = [x + end for x in encoder(tokenizer, width).encode([r.text for r in rows])]
     try:
@@ -96,7 +96,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: in
     docs = docs.withColumn("hash", F.xxhash64(F.monotonically_increasing_id()))
     sized = docs.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
     n, n_bytes = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
-    dictionary = train_dictionary(docs, tokenizer, end_id, width)
+    dictionary = train_dictionary(docs, n, tokenizer, end_id, width)
     spark.createDataFrame([(bytearray(dictionary),)], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(f"{path}/dictionary")
     bounds = file_bounds(sized, n, n_bytes, docs_per_file)
     files, end = len(bounds) + 1, int(end_id).to_bytes(width, "little")

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes (about: strings, ids and places in the table) of the parts kept per Python worker; the store is emptied when it is full.
-MAX_PART_BYTES = 48_000_000
+#: Bytes (about: strings, ids and places in the table) of the parts kept per Python worker. Half is for parts in use; when that is full it becomes the other half, from which parts that are met again come back.
+MAX_PART_BYTES = 72_000_000
 #: Characters of text handed over at a time.
 SLICE_CHARS = 3_000_000
 
@@ -120,10 +120,12 @@ class _Parts(dict):
 
     def __init__(self, owner: Encoder, most: int):
         self[""] = b""
-        self.most, self.held = most, 0
+        self.half, self.held, self.old = most // 2, 0, {}
         self.plain, self.code, self.tokenizer, self.model = owner._plain, owner.code, owner.tokenizer, owner.tokenizer.model
 
     def __missing__(self, part: str) -> bytes:
+        if (packed := self.old.get(part)) is not None:
+            return self._keep(part, packed)
         if self.plain(part):
             ids = [x.id for x in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_CHARS))]
         elif (word := part.rstrip(_MARKS)) and len(word) < len(part) and self.plain(word):
@@ -134,10 +136,11 @@ class _Parts(dict):
 
     def _keep(self, part: str, packed: bytes) -> bytes:
         size = 200 + 2 * len(part) + len(packed)
-        if self.held + size > self.most:
+        if self.held + size > self.half:
+            self.old = dict(self)
             self.clear()
             self[""], self.held = b"", 0
-        if size <= self.most:
+        if size <= self.half:
             self[part] = packed
             self.held += size
         return packed

@@ -1,11 +1,12 @@
 """Operator 9: exact top-k inner-product search by norm buckets.
 
-Vectors are sorted by length into buckets. For a query with k answers already, a bucket whose longest vector can't reach
-the k-th score ends the search. In the others the k-th score gives a local cosine threshold: where it is high, candidates
-must lie near the query in its largest coordinate; where it is low, they must be long enough. Products of candidates
-are then computed exactly, in integers.
+Vectors are grouped by length into buckets, each longer than the last by LADDER at most; a bucket is dealt out as blocks. A sample
+from the longest buckets gives each query a score that its k-th answer reaches at least, and with it the length that a
+vector must have: a query meets the blocks of the buckets that hold such vectors and no others, by an equality join.
 
-Data blocks and query blocks meet as packed rows, a pair of blocks per row; each pair gives k rows a query at most.
+Within a block vectors stand by length again. A run whose longest vector can't reach the k-th score so far ends the
+search. In the others that score gives a local cosine threshold: where it is high, candidates must lie near the query in
+its largest coordinate; where it is low, they must be long enough. Products of candidates are then computed exactly, in integers.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize
+from .storage import materialize, settle
 
-#: Vectors of a data block, of a query block, of a bucket.
+#: Vectors of a data block, of a query block, of a run within a block.
 DATA_BLOCK, QUERY_BLOCK, BUCKET = 8_192, 1_024, 256
-#: Local cosine threshold from which on a bucket is pruned by a coordinate.
+#: Ratio of the lengths that a bucket spans: there are some 500 buckets for all lengths that longs can have.
+LADDER = 1.1
+#: Vectors that queries are first compared with, and their bytes at most.
+SEEDS, SEED_BYTES = 2_048, 4_000_000
+#: Local cosine threshold from which on a run is pruned by a coordinate.
 BY_COORDINATE = 0.3
 
 
@@ -37,26 +42,39 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
 
 
-def _blocks(vectors: DataFrame, most: int) -> DataFrame:
-    """Rows (n, width, ids, data): up to ``most`` vectors as bytes; shorter vectors are filled up with zeros."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, most):
-                part = batch.slice(lo, most)
-                lists = part.column(1)
-                sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
-                values = np.asarray(lists.flatten()).astype(np.int64)
-                width = int(sizes.max()) if len(sizes) else 0
-                data = np.zeros((part.num_rows, width), np.int64)
-                data[np.arange(width)[None, :] < sizes[:, None]] = values
-                yield pa.record_batch({"n": pa.array([part.num_rows], pa.int32()), "width": pa.array([width], pa.int32()), "ids": pa.array([np.asarray(part.column(0)).astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors as rows; shorter ones are filled up with zeros."""
+    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = np.asarray(lists.flatten()).astype(np.int64)
+    return out
 
-    return vectors.mapInArrow(run, "n int, width int, ids binary, data binary")
 
+def _blocks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows (keys, n, width, and id, floor and v as bytes) of up to ``most`` rows (keys, id, floor, v) that follow each other with equal keys (ints)."""
 
-def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score): each query's k best of one block, ties to the smaller id; vectors with the query's own id don't count."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [np.asarray(batch.column(i)).astype(np.int64) for i in range(len(keys))]
+            change = np.zeros(batch.num_rows, bool)
+            for k in own:
+                change[1:] |= k[1:] != k[:-1]
+            edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:], strict=False):
+                for lo in range(a, b, most):
+                    part = batch.slice(lo, min(most, b - lo))
+                    data = _matrix(part.column(len(keys) + 2))
+                    out = {k: pa.array([int(v[lo])], pa.int32()) for k, v in zip(keys, own, strict=True)} | {"n": pa.array([part.num_rows], pa.int32()), "width": pa.array([data.shape[1]], pa.int32())}
+                    ids, floors = (np.asarray(part.column(len(keys) + i)) for i in (0, 1))
+                    yield pa.record_batch(out | {"ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "floors": pa.array([floors.astype(np.float64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    return rows.select(*(F.col(k).cast("int") for k in keys), "id", "floor", "v").mapInArrow(run, ", ".join(f"{k} int" for k in keys) + ", n int, width int, ids binary, floors binary, data binary")
+
+
+def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(index of the query, vector id, score): each query's k best of one block, ties to the smaller id; vectors with the query's own id don't count, nor do scores below ``floors`` (nan: none)."""
     width = max(x.shape[1], q.shape[1])
     x, q = (np.pad(a, ((0, 0), (0, width - a.shape[1]))) for a in (x, q))
     if len(x) and len(q) and float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(width, 1) >= 2.0**62:
@@ -66,11 +84,12 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     ids, x, norm = ids[order], x[order], norm[order]
     unit = x.astype(np.float64) / np.maximum(norm, 1e-300)[:, None]
     out = []
-    for key, v in zip(query_ids.tolist(), q, strict=True):
+    for number, (key, v) in enumerate(zip(query_ids.tolist(), q, strict=True)):
         length = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
         focus = int(np.argmax(np.abs(v))) if width else 0
         at = float(v[focus]) / length if length else 0.0
-        best_s, best_i, least = np.zeros(0, x.dtype), np.zeros(0, np.int64), None
+        best_s, best_i = np.zeros(0, x.dtype), np.zeros(0, np.int64)
+        least = None if floors is None or np.isnan(floors[number]) else floors[number]
         for lo in range(0, len(ids), BUCKET):
             top = float(norm[lo])
             if least is not None and least > 0 and float(least) > length * top * (1 + 1e-9):
@@ -97,34 +116,96 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
             rank = np.lexsort((best_i, -best_s))[:k]
             best_s, best_i = best_s[rank], best_i[rank]
             if len(best_s) == k:
-                least = best_s[-1]
-        out += [(key, int(i), int(s)) for i, s in zip(best_i.tolist(), best_s.tolist(), strict=True)]
+                least = best_s[-1] if least is None else max(best_s[-1], least)
+        out += [(number, int(i), int(s)) for i, s in zip(best_i.tolist(), best_s.tolist(), strict=True)]
     return out
 
 
+def _bucket(v: Column) -> Column:
+    """The number of a vector's bucket by its length; -1 for length zero."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(length > 0, F.floor(F.log(length) / float(np.log(LADDER)))).otherwise(-1).cast("int")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of ``vectors`` with the highest integer inner product with each row of ``queries``.
 
     Both have vec_id (long) and v (array of long). Ties go to the smaller vec_id; rows with the query's own id don't
-    count, even repeated ones; fewer vectors than k give fewer rows. Rows with null vec_id or v take no part.
-    Vectors of different lengths are compared as if filled up with zeros.
+    count, even repeated ones; fewer vectors than k give fewer rows. Each row of ``queries`` is answered, repeated ones
+    and those that share an id, too. Rows with null vec_id or v take no part. Vectors of different lengths are compared
+    as if filled up with zeros.
     """
-    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v")
-    queries = materialize(queries.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v").dropDuplicates(["vec_id"]), "queries")
-    parts = max(1, -(-queries.count() // QUERY_BLOCK))
-    asked = _blocks(queries.repartition(parts), QUERY_BLOCK).toDF("q_n", "q_width", "q_ids", "q_data")
+    usable_ = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
+    placed = vectors.where(usable_).select("vec_id", "v", _bucket(F.col("v")).alias("bucket"), F.xxhash64(F.monotonically_increasing_id()).alias("mixed"))
+    counts = {r.bucket: r for r in placed.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).collect()}
+    empty = "query_id long, rank int, vec_id long, score long"
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], empty)
+    ladder = sorted(counts)
+    # from the longest buckets on, as many vectors as seeds are wanted, thinned by a hash
+    wanted = max(k, min(SEEDS, SEED_BYTES // (8 * max(max(r.width for r in counts.values()), 1))))
+    there = np.cumsum([counts[b].n for b in ladder[::-1]])
+    last = min(int(np.searchsorted(there, wanted)), len(ladder) - 1)
+    share = min(1 << 40, (wanted << 40) // int(there[last]) + 1)
+    seeds = placed.where((F.col("bucket") >= ladder[::-1][last]) & (F.pmod("mixed", F.lit(1 << 40)) < share)).select("vec_id", "v").toArrow()
+    seed_ids = np.asarray(seeds["vec_id"].combine_chunks()).astype(np.int64)
+    seed_data = _matrix(seeds["v"].combine_chunks())
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, data = np.asarray(batch.column(1)).astype(np.int64), _matrix(batch.column(2))
+            floor, found = np.full(len(ids), np.nan), np.zeros(len(ids), np.int64)
+            for number, _, score in search(seed_ids, seed_data, ids, data, k):
+                floor[number], found[number] = score, found[number] + 1
+            floor[found < k] = np.nan
+            length = np.sqrt((data.astype(np.float64) ** 2).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # vectors of a bucket are shorter than LADDER ** (bucket + 1)
+                lowest = np.floor(np.log(floor / length) / np.log(LADDER) - 1 - 1e-6)
+            lowest = np.where((floor > 0) & (length > 0), lowest, -1)
+            yield pa.record_batch({"row": batch.column(0), "vec_id": batch.column(1), "v": batch.column(2), "floor": pa.array(floor), "lowest": pa.array(np.maximum(lowest, -1).astype(np.int32))})
+
+    asked = queries.where(usable_).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "v")
+    asked = materialize(asked.mapInArrow(reach, "row long, vec_id long, v array<long>, floor double, lowest int"), "queries")
+    n = asked.count()
+    packs = asked.repartition(max(1, -(-n // QUERY_BLOCK))).sortWithinPartitions("lowest").select(F.struct("row", "vec_id").alias("key"), "floor", "v", "lowest")
+    packs = _packs(packs)
+    # each pack goes to all blocks of the buckets from its lowest on
+    slices = {b: -(-counts[b].n // DATA_BLOCK) for b in ladder}
+    known = F.array(*(F.struct(F.lit(b).alias("bucket"), F.lit(s).alias("slices")) for b, s in slices.items()))
+    sent = packs.select("*", F.explode(F.filter(known, lambda x: x["bucket"] >= F.col("lowest"))).alias("x")).select("*", "x.bucket", F.explode(F.sequence(F.lit(0), F.col("x.slices") - 1)).alias("slice"))
+    each = F.element_at(F.create_map(*(F.lit(y) for b, s in slices.items() for y in (b, s))), F.col("bucket"))
+    cells = placed.withColumn("slice", F.pmod("mixed", each).cast("int")).select("bucket", "slice", F.col("vec_id").cast("long").alias("id"), F.lit(0.0).alias("floor"), "v")
+    cells = _blocks(cells.repartition("bucket", "slice").sortWithinPartitions("bucket", "slice"), ["bucket", "slice"], DATA_BLOCK).drop("floors")
+    pairs = materialize(cells, "blocks").join(sent, ["bucket", "slice"]).select("n", "width", "ids", "data", "q_n", "q_width", "q_rows", "q_ids", "q_floors", "q_data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 x = np.frombuffer(r["data"], np.int64).reshape(r["n"], r["width"])
                 q = np.frombuffer(r["q_data"], np.int64).reshape(r["q_n"], r["q_width"])
-                rows = search(np.frombuffer(r["ids"], np.int64), x, np.frombuffer(r["q_ids"], np.int64), q, k)
-                yield pa.record_batch({c: pa.array([row[i] for row in rows], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+                q_rows, q_ids = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["q_ids"], np.int64)
+                rows = search(np.frombuffer(r["ids"], np.int64), x, q_ids, q, k, np.frombuffer(r["q_floors"], np.float64))
+                number = np.array([row[0] for row in rows], np.int64)
+                yield pa.record_batch({"row": pa.array(q_rows[number]), "query_id": pa.array(q_ids[number]), "vec_id": pa.array([row[1] for row in rows], pa.int64()), "score": pa.array([row[2] for row in rows], pa.int64())})
+
+    found = pairs.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    return settle(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+
+def _packs(rows: DataFrame) -> DataFrame:
+    """Query rows (key, floor, v, lowest) as packs of QUERY_BLOCK, each with the lowest of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(lo, QUERY_BLOCK)
+                key, data = part.column(0), _matrix(part.column(2))
+                yield pa.record_batch({"lowest": pa.array([pc.min(part.column(3)).as_py()], pa.int32()), "q_n": pa.array([part.num_rows], pa.int32()), "q_width": pa.array([data.shape[1]], pa.int32()), "q_rows": pa.array([np.asarray(key.field(0)).astype(np.int64).tobytes()], pa.binary()), "q_ids": pa.array([np.asarray(key.field(1)).astype(np.int64).tobytes()], pa.binary()), "q_floors": pa.array([np.asarray(part.column(1)).astype(np.float64).tobytes()], pa.binary()), "q_data": pa.array([data.tobytes()], pa.binary())})
 
-    found = _blocks(vectors, DATA_BLOCK).crossJoin(asked).mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.mapInArrow(run, "lowest int, q_n int, q_width int, q_rows binary, q_ids binary, q_floors binary, q_data binary")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +219,9 @@ ORACLE_SQL = {
     "op9_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+q AS (SELECT row_number() OVER () AS query, * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT query, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+      FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }

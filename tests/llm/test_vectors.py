@@ -223,14 +223,21 @@ def plain_top(vectors, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "spread"), [(0, 1), (1, 50), (2, 1000)])
-def test_top_k(spark, seed, spread):
+@pytest.mark.parametrize(("seed", "spread", "block"), [(0, 1, 8_192), (1, 50, 8_192), (2, 1000, 8_192), (1, 50, 64)])
+def test_top_k(spark, monkeypatch, seed, spread, block):
+    monkeypatch.setattr(topk, "DATA_BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", max(block // 64, 2))
+    monkeypatch.setattr(topk, "SEEDS", 100)
     rng = random.Random(seed)
     vectors = [(i, [rng.randrange(-9, 10) * rng.randrange(1, spread + 1) for _ in range(6)]) for i in range(900)]
     vectors += [(2000 + i, vectors[i][1]) for i in range(40)] + [(3000, [0] * 6), (3001, [5, 5]), (-100, [1] * 6), (3002, []), (3003, vectors[3][1]), (3003, vectors[3][1])]
     df = spark.createDataFrame([*vectors, (None, [1] * 6), (5000, None)], "vec_id long, v array<long>").repartition(3)
+    vectors += [(200, [7] * 6), (200, vectors[200][1])]  # queries that share an id
+    df = df.unionByName(spark.createDataFrame(vectors[-2:], df.schema))
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10).collect())
     assert got == plain_top(vectors, [(i, v) for i, v in vectors if i % 100 == 0], 10)
+    few = df.where("vec_id < 5 AND vec_id >= 0")
+    assert sorted(tuple(r) for r in topk.top_k(few, few, 10).collect()) == plain_top(vectors[:5], vectors[:5], 10)
 
 
 @pytest.mark.parametrize("sign", [-1, 1])
@@ -247,7 +254,7 @@ def test_search_of_clusters_about_an_axis(sign):
     want = []
     for i in asked.tolist():
         score = x @ x[i]
-        want += [(i, int(j), int(score[j])) for j in np.lexsort((ids, -score)) if j != i][:10]
+        want += [(len(want) // 10, int(j), int(score[j])) for j in np.lexsort((ids, -score)) if j != i][:10]
     assert topk.search(ids, x, ids[asked], x[asked], 10) == want
 
 
