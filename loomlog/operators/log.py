@@ -24,10 +24,11 @@ def heads(log: DataFrame) -> DataFrame:
     First the greatest id of each key and rank, then the greatest rank of each key: both are hash aggregations over longs,
     with partial sums before either shuffle; the maximum of a struct would sort the whole log.
     """
-    return _greatest(log.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank")))
+    return greatest(log.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank")))
 
 
-def _greatest(rows: DataFrame) -> DataFrame:
+def greatest(rows: DataFrame) -> DataFrame:
+    """Of compaction_key, head_id and head_rank the greatest (rank, id) of each key."""
     each = rows.groupBy("compaction_key", "head_rank").agg(F.max("head_id").alias("head_id"))
     return each.groupBy("compaction_key").agg(F.max_by("head_id", "head_rank").alias("head_id"), F.max("head_rank").alias("head_rank"))
 
@@ -44,21 +45,34 @@ def key_history(log: DataFrame, key: str, limit: int) -> DataFrame:
 
 def upsert_heads(old: DataFrame, batch: DataFrame) -> DataFrame:
     """Old heads and the batch's messages, reduced to the greatest (rank, id) of each key."""
-    return _greatest(old.unionByName(batch.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank"))))
+    return greatest(old.unionByName(batch.where("compaction_key IS NOT NULL").select("compaction_key", F.col("id").alias("head_id"), F.col("compaction_rank").alias("head_rank"))))
 
 
-def append(attempts: DataFrame, known: DataFrame, head: int) -> DataFrame:
-    """Attempts (seq, idempotency_key, payload) with the id each gets: the first of a key that isn't known is appended, ids follow ``head`` in the order of seq without gaps; others are duplicates with id 0.
+def assign_ids(attempts: DataFrame, known: DataFrame, head: int) -> DataFrame:
+    """seq and id of the attempts (seq, idempotency_key) that are appended: the first of each key that isn't known; ids follow ``head`` in the order of seq without gaps.
 
-    Ids come from counts per block of seq and ranks within blocks, so no task ranks the whole batch.
+    Ids come from counts per block of seq and ranks within blocks, so no task ranks the whole batch; the counts, a row
+    per block of 4,096, are joined as one small table.
     """
     first = attempts.groupBy("idempotency_key").agg(F.min("seq").alias("seq")).join(known, "idempotency_key", "left_anti").select("seq", F.floor(F.col("seq") / 4096).alias("block"))
     sizes = first.groupBy("block").agg(F.count("*").alias("n"))
     base = sizes.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    ids = first.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("seq"))).join(base, "block").select("seq", (F.col("r") + F.col("base") + head).cast("long").alias("id"))
+    return first.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("seq"))).join(base, "block").select("seq", (F.col("r") + F.col("base") + head).cast("long").alias("id"))
+
+
+def append(attempts: DataFrame, known: DataFrame, head: int) -> DataFrame:
+    """Attempts (seq, idempotency_key, payload) with the id each gets (``assign_ids``); others are duplicates with id 0."""
+    ids = assign_ids(attempts, known, head)
     return attempts.join(ids, "seq", "left").select("seq", "idempotency_key", "payload", F.coalesce("id", F.lit(0)).cast("long").alias("id"), F.col("id").isNull().alias("duplicate"))
 
 
+def tombstones(log: DataFrame, floor: int, is_tombstone: Column) -> DataFrame:
+    """id of the messages up to ``floor`` that are their key's last up to it, and tombstones."""
+    below = log.where((F.col("id") <= floor) & F.col("compaction_key").isNotNull())
+    last = below.groupBy("compaction_key").agg(F.max("id").alias("id")).select("id")
+    return below.where(is_tombstone).select("id").join(last, "id", "left_semi")
+
+
 def superseded(log: DataFrame, floor: int) -> DataFrame:
     """Keyed messages up to ``floor`` that a later one up to it replaces."""
     below = log.where((F.col("id") <= floor) & F.col("compaction_key").isNotNull())

@@ -125,8 +125,7 @@ def compact_superseded(x):
 @R.add("compact_tombstones", "SELECT compaction_key, max(id) AS id FROM message_log, log_head WHERE id <= head // 2 AND compaction_key IS NOT NULL GROUP BY 1 HAVING arg_max(compaction_rank, id) = -1")
 def compact_tombstones(x):
     """Keys whose last message up to the floor is a tombstone (here: of rank -1)."""
-    last = x.log.where(f"id <= {x.head // 2} AND compaction_key IS NOT NULL").groupBy("compaction_key").agg(F.max_by("compaction_rank", "id").alias("r"), F.max("id").alias("id"))
-    return last.where("r = -1").select("compaction_key", "id")
+    return log.tombstones(x.log, x.head // 2, F.col("compaction_rank") == -1).join(x.log.select("id", "compaction_key"), "id").select("compaction_key", "id")
 
 
 @R.add("fresh_claim", "SELECT group_id, claimed AS low, least(claimed + 200, head) AS high FROM cursor_state, log_head WHERE claimed < least(claimed + 200, head)")
@@ -141,16 +140,18 @@ def lease_reclaim(x):
 
 @R.add("claim_order", ", r AS (SELECT group_id, low, high FROM lease WHERE expired QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY low) = 1) SELECT c.group_id, coalesce(r.low, c.claimed) AS low, coalesce(r.high, least(c.claimed + 200, head)) AS high, r.low IS NOT NULL AS reclaimed FROM cursor_state c CROSS JOIN log_head LEFT JOIN r ON r.group_id = c.group_id WHERE r.low IS NOT NULL OR c.claimed < least(c.claimed + 200, head)")
 def claim_order(x):
-    old = delivery.reclaim(x.leases, 3).select("group_id", "low", "high", F.lit(True).alias("reclaimed"))
-    new = delivery.fresh_claim(x.cursors, x.head, 200).withColumn("reclaimed", F.lit(False))
-    return old.unionByName(new.join(old, "group_id", "left_anti"))
+    return delivery.claim_next(x.cursors, x.leases, x.head, 200, 3)
 
 
-@R.add("settled_head", "SELECT g.group_id, greatest(g.group_id * 10, CASE WHEN g.group_id % 2 = 0 THEN head ELSE 0 END, CASE WHEN g.group_id > 2 THEN head - 5 ELSE 0 END) AS gate FROM consumer_group g, log_head")
+FENCE = ", fence AS (SELECT CAST(g AS BIGINT) AS group_id, CAST(settled AS BIGINT) AS settled, CAST(xmin AS BIGINT) AS xmin, CAST(xmax AS BIGINT) AS xmax, CAST(pending_xmax AS BIGINT) AS pending_xmax, CAST(pending_head AS BIGINT) AS pending_head FROM (VALUES (1, 7, 100, 100, NULL, NULL), (2, 7, 99, 100, NULL, NULL), (3, 7, 99, 104, 98, 9), (4, 20, 97, 104, 98, 9), (5, 0, 104, 104, 98, 9)) AS v(g, settled, xmin, xmax, pending_xmax, pending_head))"
+
+
+@R.add("settled_head", FENCE + " SELECT group_id, greatest(settled, CASE WHEN xmin >= xmax THEN head END, CASE WHEN xmin >= pending_xmax THEN pending_head END) AS gate FROM fence, log_head")
 def settled_head(x):
-    """The gate of a claim: what is settled, or a head whose writers are all done (here: told by the group's number)."""
-    g = F.col("group_id")
-    return x.groups.select("group_id", F.greatest(g * 10, F.when(g % 2 == 0, F.lit(x.head)).otherwise(0), F.when(g > 2, F.lit(x.head - 5)).otherwise(0)).alias("gate"))
+    """The gate of a claim: no open writer, one that is open, a noted head that has settled, one that hasn't, both."""
+    rows = [(1, 7, 100, 100, None, None), (2, 7, 99, 100, None, None), (3, 7, 99, 104, 98, 9), (4, 20, 97, 104, 98, 9), (5, 0, 104, 104, 98, 9)]
+    fence = x.spark.createDataFrame(rows, "group_id long, settled long, xmin long, xmax long, pending_xmax long, pending_head long")
+    return fence.select("group_id", delivery.gate(F.col("settled"), F.lit(x.head), F.col("xmin"), F.col("xmax"), F.col("pending_head"), F.col("pending_xmax")).alias("gate"))
 
 
 @R.add("quarantine_rows", "SELECT l.group_id, m.id AS message_id, 'ready' AS status, 0 AS attempts FROM message_log m JOIN lease l ON m.id > l.low AND m.id <= l.high WHERE l.expired AND l.reclaims >= 3")
@@ -160,8 +161,7 @@ def quarantine_rows(x):
 
 @R.add("force_reclaim", "SELECT group_id, low, CAST(greatest(reclaims - 1, -1) AS INT) AS reclaims, true AS expired FROM lease WHERE NOT expired UNION ALL SELECT group_id, low, reclaims, expired FROM lease WHERE expired")
 def force_reclaim(x):
-    live = ~F.col("expired")
-    return x.leases.select("group_id", "low", F.when(live, F.greatest(F.col("reclaims") - 1, F.lit(-1))).otherwise(F.col("reclaims")).alias("reclaims"), F.lit(True).alias("expired"))
+    return delivery.force_reclaimed(x.leases, ~F.col("expired")).select("group_id", "low", "reclaims", "expired")
 
 
 @R.add("exception_eligible", "SELECT d.group_id, d.message_id, d.status FROM delivery d JOIN message_log m ON m.id = d.message_id CROSS JOIN clock c WHERE " + DUE + " AND " + LIVE)
@@ -193,29 +193,35 @@ def exception_success(x):
 
 @R.add("record_failure", "SELECT group_id, message_id, 'ready' AS status, as_of + to_seconds(CAST(least(300, 2 * pow(2, greatest(attempts - 1, 0))) AS BIGINT)) AS can_run_after, attempts AS logged_attempt FROM delivery, clock WHERE status = 'inflight'")
 def record_failure(x):
-    wait = delivery.backoff_seconds(F.col("attempts") - 1, 2, 300)
-    then = F.lit(x.as_of).cast("timestamp_ntz") + F.make_dt_interval(secs=wait.cast("decimal(18,6)"))
-    return x.deliveries.where("status = 'inflight'").select("group_id", "message_id", F.lit("ready").alias("status"), then.alias("can_run_after"), F.col("attempts").alias("logged_attempt"))
+    kept, logged = _retried(x, "failure")
+    return kept.join(logged.select("group_id", "message_id", F.col("attempt").alias("logged_attempt")), ["group_id", "message_id"]).select("group_id", "message_id", "status", "can_run_after", "logged_attempt")
+
+
+def _retried(x, kind):
+    """Deliveries and log rows after all that is in flight had one outcome."""
+    taken = x.deliveries.where("status = 'inflight'").select("group_id", "message_id", "attempts", F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("error"))
+    return delivery.retry_outcomes(taken, x.as_of)
 
 
 @R.add("record_terminal", "SELECT group_id, message_id, CASE WHEN status = 'inflight' THEN 'dead' ELSE status END AS status FROM delivery")
 def record_terminal(x):
-    return x.deliveries.select("group_id", "message_id", F.when(F.col("status") == "inflight", "dead").otherwise(F.col("status")).alias("status"))
+    return x.deliveries.where("status <> 'inflight'").select("group_id", "message_id", "status").unionByName(_retried(x, "terminal")[0].select("group_id", "message_id", "status"))
 
 
 @R.add("record_superseded", "SELECT group_id, message_id, 'superseded' AS status, CAST(attempts - 1 AS INT) AS attempts, CAST(attempts AS INT) AS logged_attempt FROM delivery WHERE status = 'inflight'")
 def record_superseded(x):
     """The attempt is taken back and logged under the number it had."""
-    return x.deliveries.where("status = 'inflight'").select("group_id", "message_id", F.lit("superseded").alias("status"), (F.col("attempts") - 1).alias("attempts"), F.col("attempts").alias("logged_attempt"))
+    kept, logged = _retried(x, "superseded")
+    return kept.join(logged.select("group_id", "message_id", F.col("attempt").alias("logged_attempt")), ["group_id", "message_id"]).select("group_id", "message_id", "status", "attempts", "logged_attempt")
 
 
 @R.add("range_commit", "SELECT l.group_id, m.id AS message_id, CASE m.id % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'dead' WHEN 2 THEN 'deferred' END AS status, 0 AS attempts FROM lease l JOIN message_log m ON m.id > l.low AND m.id <= l.high WHERE NOT l.expired AND m.id % 5 < 3")
 def range_commit(x):
     """A range's outcomes by the message's residue: exception, terminal and deferred ones become deliveries; the rest, done, leave none."""
-    live = x.leases.where("NOT expired").select("group_id", "low", "high")
-    rows = x.log.join(F.broadcast(live), (F.col("id") > F.col("low")) & (F.col("id") <= F.col("high")))
-    kind = F.element_at(F.array(F.lit("ready"), F.lit("dead"), F.lit("deferred")), (F.col("id") % 5 + 1).cast("int"))
-    return rows.where("id % 5 < 3").select("group_id", F.col("id").alias("message_id"), kind.alias("status"), F.lit(0).alias("attempts"))
+    rows = delivery.in_ranges(x.log.select("id"), x.leases.where("NOT expired").select("group_id", "low", "high"))
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("failure", "terminal", "deferred", "success", "superseded"))), (F.col("id") % 5 + 1).cast("int"))
+    kept, _ = delivery.range_outcomes(rows.select("group_id", F.col("id").alias("message_id"), kind.alias("kind"), F.lit(None).cast("string").alias("error")), x.as_of, 0)
+    return kept.select("group_id", "message_id", "status", "attempts")
 
 
 @R.add("contiguous_prefix", "SELECT group_id, coalesce(min(CASE WHEN status <> 'done' THEN message_id END) - 1, max(message_id)) AS upto FROM delivery GROUP BY group_id")
@@ -227,7 +233,7 @@ def contiguous_prefix(x):
 def key_lease_verdict(x):
     keyed = x.deliveries.join(x.log.where("compaction_key IS NOT NULL").select(F.col("id").alias("message_id"), "compaction_key"), "message_id")
     rows = keyed.join(log.heads(x.log), "compaction_key").join(x.key_leases, ["group_id", "compaction_key"], "left")
-    verdict = F.when(F.col("head_id") != F.col("message_id"), "superseded").when(F.col("expires_at") >= F.lit(x.as_of).cast("timestamp_ntz"), "busy").otherwise("acquired")
+    verdict = delivery.key_verdict(F.col("head_id") == F.col("message_id"), F.col("expires_at"), F.lit(False), x.as_of)
     return rows.select("group_id", "message_id", verdict.alias("verdict"))
 
 
@@ -237,14 +243,13 @@ BATCH = ", batch AS (SELECT * FROM message_log WHERE id > 100 ORDER BY id LIMIT
 @R.add("fanout_materialize", BATCH + " SELECT g.group_id, m.id AS message_id FROM batch m CROSS JOIN consumer_group g LEFT JOIN head_of h ON h.compaction_key = m.compaction_key WHERE " + ROUTED + " AND (m.compaction_key IS NULL OR h.head_id = m.id) AND NOT EXISTS (SELECT 1 FROM delivery d WHERE d.group_id = g.group_id AND d.message_id = m.id)")
 def fanout_materialize(x):
     batch = x.log.where("id > 100").orderBy("id").limit(300)
-    rows = routing.by_group(log.compacted(batch, log.heads(x.log)), IDS, PATTERNS).select("group_id", F.col("id").alias("message_id"))
-    return rows.join(x.deliveries.select("group_id", "message_id"), ["group_id", "message_id"], "left_anti")
+    return delivery.fan_out(batch, routing.by_group(log.compacted(batch, log.heads(x.log)), IDS, PATTERNS), x.deliveries, 300, x.head)[0]
 
 
 @R.add("fanout_mark", BATCH + " SELECT CASE WHEN count(*) = 300 THEN least(max(b.id), max(head)) ELSE max(head) END AS mark FROM batch b, log_head")
 def fanout_mark(x):
-    b = x.log.where("id > 100").orderBy("id").limit(300).agg(F.count("*").alias("n"), F.max("id").alias("last"))
-    return b.select(F.when(F.col("n") == 300, F.least("last", F.lit(x.head))).otherwise(F.lit(x.head)).alias("mark"))
+    batch = x.log.where("id > 100").orderBy("id").limit(300)
+    return delivery.fan_out(batch, batch.withColumn("group_id", F.lit(1)), x.deliveries, 300, x.head)[1]
 
 
 @R.add("fanout_all", "SELECT g.group_id, count(*) AS n, sum(m.id) AS ids FROM message_log m CROSS JOIN consumer_group g GROUP BY 1")
@@ -261,7 +266,7 @@ def lifecycle_claim(x):
 
 @R.add("lifecycle_outcome", "SELECT group_id, message_id, CASE WHEN message_id % 3 = 0 THEN 'done' WHEN attempts >= 3 THEN 'dead' ELSE 'ready' END AS status FROM delivery WHERE status = 'inflight'")
 def lifecycle_outcome(x):
-    status = F.when(F.col("message_id") % 3 == 0, "done").when(F.col("attempts") >= 3, "dead").otherwise("ready")
+    status = delivery.lifecycle_status(F.col("message_id") % 3 == 0, F.col("attempts"), 3)
     return x.deliveries.where("status = 'inflight'").select("group_id", "message_id", status.alias("status"))
 
 
@@ -278,11 +283,8 @@ def fifo_eligible(x):
 
 @R.add("fifo_claim", ", u AS (SELECT d.*, m.compaction_key FROM delivery d JOIN message_log m ON m.id = d.message_id WHERE d.status IN ('ready', 'inflight') AND m.compaction_key IS NOT NULL), f AS (SELECT group_id, compaction_key, min(message_id) AS message_id FROM u GROUP BY 1, 2) SELECT u.group_id, u.message_id FROM u JOIN f USING (group_id, compaction_key, message_id) CROSS JOIN clock WHERE (u.status = 'ready' OR u.lease_until < as_of) AND NOT EXISTS (SELECT 1 FROM u v WHERE v.group_id = u.group_id AND v.compaction_key = u.compaction_key AND v.status = 'inflight' AND v.lease_until >= as_of)")
 def fifo_claim(x):
-    clock = F.lit(x.as_of).cast("timestamp_ntz")
     open_ = x.deliveries.where(F.col("status").isin("ready", "inflight")).join(x.log.select(F.col("id").alias("message_id"), "compaction_key").where("compaction_key IS NOT NULL"), "message_id")
-    busy = open_.where((F.col("status") == "inflight") & (F.col("lease_until") >= clock)).select("group_id", "compaction_key").distinct()
-    first = open_.join(delivery.fifo(open_), ["group_id", "compaction_key", "message_id"])
-    return first.where((F.col("status") == "ready") | (F.col("lease_until") < clock)).join(busy, ["group_id", "compaction_key"], "left_anti").select("group_id", "message_id")
+    return delivery.fifo_claimable(open_, x.as_of)
 
 
 @R.add("pop_delete", "SELECT group_id, message_id, message_id IN (SELECT d2.message_id FROM delivery d2 WHERE d2.group_id = d.group_id AND d2.status = 'ready' ORDER BY d2.message_id LIMIT 3) AS popped FROM delivery d WHERE d.status = 'ready'")
@@ -304,7 +306,7 @@ def backoff(x):
 
 @R.add("materialize", "SELECT c.group_id, m.id AS message_id FROM message_log m CROSS JOIN cursor_state c JOIN consumer_group g ON g.group_id = c.group_id WHERE m.id > c.claimed AND " + ROUTED + " AND NOT EXISTS (SELECT 1 FROM delivery d WHERE d.group_id = c.group_id AND d.message_id = m.id)")
 def materialize(x):
-    new = routing.by_group(x.log, IDS, PATTERNS).join(F.broadcast(x.cursors), "group_id").where("id > claimed").select("group_id", F.col("id").alias("message_id"))
+    new = routing.by_group(x.log, IDS, PATTERNS).join(x.cursors, "group_id").where("id > claimed").select("group_id", F.col("id").alias("message_id"))
     return new.join(x.deliveries.select("group_id", "message_id"), ["group_id", "message_id"], "left_anti")
 
 

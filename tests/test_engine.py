@@ -141,7 +141,7 @@ def test_store_appends_once_and_prunes(spark, tmp_path):
     rows = topic.read("log").orderBy("id").collect()
     assert [(r.id, r.payload) for r in rows] == [(1, "1"), (2, "2"), (3, "3"), (4, "4"), (5, "5")]
     assert rows[1].routing_key is None and topic.head() == 5
-    assert {(r.compaction_key, r.head_id) for r in topic.read("heads").collect()} == {("k1", 2), ("k2", 5)}
+    assert {(r.compaction_key, r.head_id) for r in topic.heads().collect()} == {("k1", 2), ("k2", 5)}
     plan = topic.read_range(4, 7)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(part" in plan and [r.id for r in topic.read_range(4, 7).collect()] == [5]
 
