@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .features import letter_codes, ngram_counts, unit
 from .tokens import slices
@@ -116,28 +117,23 @@ def held_out() -> Column:
 
 
 def sample_by_hash(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label (a few more; all, if there are fewer), those whose hash of doc_id is low. Counts come first, so nothing is shuffled but them."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    chosen = [(F.col(label) == F.lit(k)) & (share <= int(1_000_000 * min(1.0, (1.1 * most + 20) / n))) for k, n in counts.items()]
-    if not chosen:
-        return rows.limit(0)
-    keep = chosen[0]
-    for c in chosen[1:]:
-        keep = keep | c
-    return rows.where(keep)
+    """About ``most`` rows (doc_id, ``label`` and others) of each label (a few more; all, if there are fewer), those whose hash of doc_id is low; of rows that share doc_id and label one. Counts come first, so nothing is shuffled but them and what is chosen."""
+    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
+    low = rows.join(counts, F.col(label) == F.col("__label")).where(share <= F.least(F.lit(1.0), F.lit(1.1 * most + 20) / F.col("__n")) * float(1 << 40)).drop("__label", "__n")
+    rank = F.row_number().over(Window.partitionBy(label, "doc_id").orderBy(F.xxhash64(*(F.col(c) for c in rows.columns))))
+    return low.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def train(docs: DataFrame, most: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from text and lang of the rows that aren't held out and have both; at most ``most`` rows a language reach the driver's fit."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            for key, text, lang in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
-                if (x := features(text)) is not None:
-                    at = np.flatnonzero(x)
-                    yield pa.record_batch({"doc_id": pa.array([key], pa.int64()), "lang": [lang], "at": pa.array([at.astype(np.int16)], pa.list_(pa.int16())), "x": pa.array([x[at]], pa.list_(pa.float32()))})
+            found = [(key, lang, np.flatnonzero(x).astype(np.int16), x[x != 0]) for key, text, lang in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True) if (x := features(text)) is not None]
+            kinds = {"doc_id": pa.int64(), "lang": pa.string(), "at": pa.list_(pa.int16()), "x": pa.list_(pa.float32())}
+            yield pa.record_batch({k: pa.array([row[i] for row in found], kind) for i, (k, kind) in enumerate(kinds.items())})
 
     found = sample_by_hash(known, "lang", most).mapInArrow(run, "doc_id long, lang string, at array<short>, x array<float>").toArrow()
     order = sorted(range(found.num_rows), key=lambda i: (hash_of(found["doc_id"][i].as_py()), found["lang"][i].as_py()))

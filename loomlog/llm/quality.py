@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .features import ngram_counts, unit
 from .language import hash_of, sample_by_hash
@@ -156,7 +157,7 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Model | None:
-    """Fit on at most ``most`` rated documents of each grade, chosen by a hash of doc_id. None without two grades of rated documents."""
+    """Fit on at most ``most`` rated documents of each grade, chosen by a hash of doc_id; of several texts of a doc_id, the one of the lowest hash. None without two grades of rated documents."""
     chosen = sample_by_hash(rated, "grade", most).collect()
     chosen = sorted(chosen, key=lambda r: (hash_of(r.doc_id), r.doc_id))
     kept, seen = [], [0] * GRADES
@@ -170,15 +171,16 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            for key, grade, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
-                x = features(text)
-                at = np.flatnonzero(x)
-                yield pa.record_batch({"doc_id": pa.array([key], pa.int64()), "grade": pa.array([grade], pa.int32()), "at": pa.array([at.astype(np.int16)], pa.list_(pa.int16())), "x": pa.array([x[at]], pa.list_(pa.float32())), "words": pa.array([sorted(set(_WORD.findall(text.lower())))], pa.list_(pa.string()))})
+            found = [(np.flatnonzero(x).astype(np.int16), x[x != 0], sorted(set(_WORD.findall(text.lower())))) for text in texts for x in [features(text)]]
+            kinds = {"at": pa.list_(pa.int16()), "x": pa.list_(pa.float32()), "words": pa.list_(pa.string())}
+            yield pa.record_batch({"doc_id": batch.column(0), "grade": batch.column(2)} | {k: pa.array([row[i] for row in found], kind) for i, (k, kind) in enumerate(kinds.items())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(grades), "doc_id").select("doc_id", "text", "grade")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("first", first).where("first = 1").select("doc_id", "text", "grade")
     found = rows.mapInArrow(run, "doc_id long, grade int, at array<short>, x array<float>, words array<string>").toArrow()
     keys = found["doc_id"].to_pylist()
-    first = sorted({k: i for i, k in reversed(list(enumerate(keys)))}.items(), key=lambda p: (hash_of(p[0]), p[0]))  # one row per document
+    first = sorted(((k, i) for i, k in enumerate(keys)), key=lambda p: (hash_of(p[0]), p[0]))
     y = np.array([found["grade"][i].as_py() for _, i in first], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None

@@ -29,11 +29,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def tasks(spark: SparkSession, partitions: int) -> int:
     """Tasks that write a table of so many partitions: four for each core of the cluster, or as many as make eight partitions a task where that is more. A file per partition would mean mostly tiny files."""
     return max(4 * spark.sparkContext.defaultParallelism, -(-partitions // 8), 1)

@@ -255,3 +255,55 @@ def test_licenses(spark):
     got = sorted(str((r.doc_id or -1, list(r.licenses), r.n_notices, r.text_license)) for r in licenses.scan(docs(spark, rows)).collect())
     want = [(1, ["MIT"], 1, None), (2, ["MIT"], 0, "MIT"), (3, [], 0, None), (4, [], 0, None), (5, ["Apache-2.0", "LicenseRef-all-rights-reserved"], 2, None), (6, [], 0, None), (1, [], 0, None), (-1, ["GPL-3.0"], 1, "GPL-3.0")]
     assert got == sorted(map(str, want))
+
+
+def test_licenses_of_a_large_table(spark, monkeypatch):
+    """The joined path finds what the one within rows finds; a given table may hold any texts."""
+    mine = [("Own-1", "Do as you like\nwith it, but mention us."), ("Own-2", "do AS you like!! with it but mention us"), (None, "nobody's"), ("Own-3", ""), ("Own-4", "A line of its own.")]
+    known = spark.createDataFrame(mine, "license string, text string")
+    long = "filler words \n" * 30_000
+    rows = [(1, "(c) 2020 Jo\nDo as you like -- with it, but mention us."), (2, long + "a LINE of its own\n" + long), (3, None), (4, "nobody's"), (2, "A line of its own."), (None, "A line of its own.\nA line of its own.")]
+    got = []
+    for most in (50_000, 0):
+        monkeypatch.setattr(licenses, "MOST_INLINE", most)
+        got.append(sorted(str((r.doc_id or -1, list(r.licenses), r.n_notices, r.text_license)) for r in licenses.scan(docs(spark, rows), known).collect()))
+        assert licenses.scan(docs(spark, []), known).count() == 0 and licenses.scan(docs(spark, rows), known.limit(0)).where("size(licenses) > 0").count() == 0
+    want = [(1, ["Own-1"], 1, "Own-1"), (2, ["Own-4"], 1, None), (3, [], 0, None), (4, [], 0, None), (2, ["Own-4"], 1, "Own-4"), (-1, ["Own-4"], 2, None)]
+    assert got[0] == got[1] == sorted(map(str, want))
+
+
+def test_whole_licenses(spark):
+    rows = [(i, f"Copyright (c) 1999, Jo\n\n{texts[0].upper()}\n") for i, (_, texts) in enumerate(sorted(licenses.TEXTS.items()))]
+    got = {r.doc_id: r.text_license for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == sorted(licenses.TEXTS)
+
+
+def test_samples_take_each_document_once(spark):
+    rows = [(i % 7 if i % 3 else None, f"t{i}", "en" if i % 2 else "de") for i in range(600)] + [(1000 + i, "x", "fr") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.lang) for r in language.sample_by_hash(df, "lang", 100).collect()]
+    assert len(got) == len(set(got)) and {k for _, k in got} <= {"de", "en", "fr"} and 60 < sum(k == "fr" for _, k in got) < 220
+    assert language.sample_by_hash(df.limit(0), "lang", 100).count() == 0
+
+
+def test_op2_and_op8(spark):
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = language.op2_language(spark, SF).collect()
+    assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
+    rows = quality.op8_quality(spark, SF).collect()
+    assert len(rows) == n and all(1 >= r.p_good >= r.p_best >= 0 and abs(r.expected_grade - r.p_good - r.p_best) < 1e-9 for r in rows)
+
+
+def test_quality_of_repeated_ids(spark):
+    rated = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    table = docs(spark, [(1, "fine words here")] * 50 + [(1, "other fine words")] * 50 + [(2, "BAD!! BAD!!"), (2, None)])
+    model = quality.train(table, quality.ratings(rated))
+    again = quality.train(table.repartition(5), quality.ratings(rated))
+    assert (model.weights == again.weights).all() and quality.score(table, model).count() == table.count()
+
+
+def test_languages_of_very_long_and_repeated_texts(spark):
+    model = language.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    long = "the and of this that " * 60_000
+    got = [r.lang_pred for r in language.identify(docs(spark, [(1, long), (1, long), (2, "der die und das ist nicht " * 60_000)]), model).collect()]
+    assert got[0] == got[1] != "und" and got[2] != "und"
