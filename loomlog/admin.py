@@ -11,21 +11,20 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.errors import Conflict, Mismatch, NameTaken, NotEmpty, NotFound
 from loomlog.functions import cron, routing
 from loomlog.operators import control
 from loomlog.operators import log as log_ops
 from loomlog.sources.group import Group
-from loomlog.sources.store import Conflict, Topic
-
-
-class NotFound(KeyError):
-    """There is no such topic."""
+from loomlog.sources.store import Topic
+from loomlog.sources.workers import Workers
 
 
 class Admin:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._catalog = Topic(spark, f"{self.root}/_catalog")
+        self.workers = Workers(self._catalog)
 
     def _rows(self, table: str, schema: str, base: int | None = None) -> DataFrame:
         found = self._catalog.read(table, base)
@@ -45,7 +44,7 @@ class Admin:
                 new = self.spark.createDataFrame([(name, version, partition_size, f"{self.root}/{name}/{version}-{uuid.uuid4().hex}")], self.TOPIC)
                 return {"append": {"topic": new}}, None
             if known[name, version] != partition_size:
-                raise ValueError("the partition size of a topic can't change")
+                raise Mismatch("the partition size of a topic can't change")
             return {}, None
 
         self._catalog.update(change)
@@ -57,13 +56,15 @@ class Admin:
             raise NotFound(f"{name} version {version}")
         return Topic(self.spark, found.path, found.partition_size)
 
-    def destroy_topic(self, name: str, version: int = 1) -> None:
-        """Take the topic and its groups out of the catalog, then delete its data."""
+    def destroy_topic(self, name: str, version: int = 1, force: bool = True) -> None:
+        """Take the topic and its groups out of the catalog, then delete its data; without ``force`` only if it holds no messages."""
         own = (F.col("name") == name) & (F.col("version") == version)
         groups = (F.col("topic") == name) & (F.col("version") == version)
 
         def change(base: int) -> tuple[dict[str, Any], Topic]:
             topic = self.topic(name, version, base)
+            if not force and topic.read("log") is not None and not topic.read("log").isEmpty():
+                raise NotEmpty(name)
             rest = {"topic": self._rows("topic", self.TOPIC, base).where(~own), "group": self._rows("group", self.GROUP, base).where(~groups)}
             return {"replace": {k: v.coalesce(1) for k, v in rest.items()}}, topic
 
@@ -75,7 +76,7 @@ class Admin:
         def change(base: int) -> tuple[dict[str, Any], None]:
             rows, groups = self._rows("topic", self.TOPIC, base), self._rows("group", self.GROUP, base)
             if rows.where(F.col("name") == new).head() is not None:
-                raise ValueError(f"there is a topic {new}")
+                raise NameTaken(f"there is a topic {new}")
             if rows.where(F.col("name") == name).head() is None:
                 raise NotFound(name)
             renamed = {"topic": rows.withColumn("name", F.when(F.col("name") == name, new).otherwise(F.col("name"))), "group": groups.withColumn("topic", F.when(F.col("topic") == name, new).otherwise(F.col("topic")))}

@@ -17,6 +17,20 @@ def snapshot(cursors: DataFrame, leases: DataFrame, deliveries: DataFrame, head:
     return rows.select("group_id", F.lit(head).cast("long").alias("head"), "claimed", "committed", *zero, "oldest", F.coalesce("open_leases", F.lit(0)).alias("open_leases"))
 
 
+#: Gauges of a group, in the order in which they are measured.
+GAUGES = ("cursor.head", "cursor.claimed", "cursor.committed", "cursor.backlog", "cursor.inflight", "exceptions.ready", "exceptions.inflight", "exceptions.deferred", "exceptions.dead", "exceptions.oldest_unresolved_age", "open_leases", "abandoned_routines.outstanding", "abandoned_routines.total", "abandoned_routines.self_clear_latency_avg")
+
+
+def group_gauges(snapshot_: DataFrame, abandoned_: DataFrame, as_of: datetime) -> DataFrame:
+    """group_id, name and value (double) of all gauges of each group; ages and latencies in milliseconds, absent ones 0. ``abandoned_``: one row, of ``abandoned``."""
+    now = F.unix_micros(F.lit(as_of).cast("timestamp"))
+    age = F.floor((now - F.unix_micros(F.col("oldest").cast("timestamp"))) / 1000)
+    values = [F.col("head"), F.col("claimed"), F.col("committed"), F.col("head") - F.col("committed"), F.col("claimed") - F.col("committed"), F.col("ready"), F.col("inflight"), F.col("deferred"), F.col("dead"), age, F.col("open_leases"), F.col("outstanding"), F.col("total"), F.floor(F.col("mean_latency_us") / 1000)]
+    rows = snapshot_.join(abandoned_.where("total IS NOT NULL"), how="left", on=F.lit(True))
+    pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("value")) for n, v in zip(GAUGES, values, strict=True)))
+    return rows.select("group_id", F.explode(pairs).alias("x")).select("group_id", "x.name", "x.value")
+
+
 def abandoned(events: DataFrame) -> DataFrame:
     """Abandoned routines: all, those never cleared, and the mean time to clearing in whole microseconds."""
     first = events.groupBy("message_id", "attempt").agg(F.min(F.when(F.col("type") == "abandoned", F.col("event_at"))).alias("a"), F.min(F.when(F.col("type") == "cleared", F.col("event_at"))).alias("c")).where("a IS NOT NULL")

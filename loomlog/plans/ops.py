@@ -43,12 +43,16 @@ def group_lag(x):
     return s.select("group_id", F.greatest(F.col("head") - F.col("claimed"), F.lit(0)).alias("backlog"), F.greatest(F.col("head") - F.col("committed"), F.lit(0)).alias("lag"), (F.col("ready") + F.col("inflight") + F.col("deferred")).alias("unresolved"))
 
 
-@R.add("collect_measurements", f", s AS ({SNAPSHOT}), u AS (UNPIVOT (SELECT group_id, ready, inflight, deferred, dead, head - claimed AS backlog FROM s) ON ready, inflight, deferred, dead, backlog INTO NAME name VALUE value) SELECT group_id, name, CAST(value AS DOUBLE) AS value, concat(name, '|group=', CAST(group_id AS VARCHAR)) AS series FROM u")
+_GAUGE_SQL = ("head", "claimed", "committed", "head - committed", "claimed - committed", "ready", "inflight", "deferred", "dead", "floor((epoch_us(as_of) - epoch_us(oldest)) / 1000)", "open_leases", "outstanding", "total", "floor((us // nullif(n, 0)) / 1000)")
+COLLECT = f", s AS ({SNAPSHOT}), f AS (SELECT min(CASE WHEN type = 'abandoned' THEN event_at END) AS a, min(CASE WHEN type = 'cleared' THEN event_at END) AS c FROM routine_event GROUP BY message_id, attempt), ab AS (SELECT count(*) AS total, count(*) FILTER (WHERE c IS NULL) AS outstanding, sum(CASE WHEN c IS NOT NULL THEN epoch_us(c) - epoch_us(a) END) AS us, count(c) AS n FROM f WHERE a IS NOT NULL), u AS (" + " UNION ALL ".join(f"SELECT group_id, '{n}' AS name, coalesce(CAST({v} AS DOUBLE), 0) AS value FROM s, ab, clock" for n, v in zip(control.GAUGES, _GAUGE_SQL, strict=True)) + ") SELECT group_id, name, value, concat(name, '|group=', CAST(group_id AS VARCHAR)) AS series FROM u"
+
+
+@R.add("collect_measurements", COLLECT)
 def collect_measurements(x):
-    s = group_snapshot(x).withColumn("backlog", F.col("head") - F.col("claimed"))
-    long = s.unpivot(["group_id"], ["ready", "inflight", "deferred", "dead", "backlog"], "name", "value")
+    """All gauges of each group, with their series."""
+    rows = control.group_gauges(group_snapshot(x), control.abandoned(x.routine_events), x.as_of)
     attributes = F.create_map(F.lit("group"), F.col("group_id").cast("string"))
-    return long.select("group_id", "name", F.col("value").cast("double").alias("value"), log.series_key(F.col("name"), attributes).alias("series"))
+    return rows.select("group_id", "name", "value", log.series_key(F.col("name"), attributes).alias("series"))
 
 
 @R.add("measurement_key", "SELECT event_id, concat('lag|group=', event_type, ',topic=', CAST(user_id AS VARCHAR)) AS series FROM events", prologue=False)

@@ -16,16 +16,13 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.errors import LeaseLost
 from loomlog.functions import routing
 from loomlog.operators import delivery
 from loomlog.operators import log as log_ops
 from loomlog.sources.store import Topic
 
 
-class LeaseLost(RuntimeError):
-    """The lease isn't held by this token any more."""
-
-
 class Lease(NamedTuple):
     token: str
     low: int

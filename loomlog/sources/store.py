@@ -9,6 +9,7 @@ fails. Object stores don't refuse; there, a topic must have one writer at a time
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Callable
@@ -18,13 +19,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.errors import BadRecords, Conflict
 from loomlog.operators import log as log_ops
 
 
-class Conflict(RuntimeError):
-    """Another writer committed first."""
-
-
 class Topic:
     #: Batches whose heads are appended before they are merged.
     MOST_HEADS = 16
@@ -114,6 +112,26 @@ class Topic:
         found = self.read("heads", version)
         return log_ops.greatest(found) if found is not None else self.spark.createDataFrame([], "compaction_key string, head_id long, head_rank long")
 
+    def bad_records(self, attempts: DataFrame) -> DataFrame:
+        """seq and reason of records that can't be appended: without a number, an idempotency key or a time, or with a number that another has, too."""
+        twice = attempts.groupBy("seq").agg(F.count("*").alias("n")).where("n > 1 AND seq IS NOT NULL").select("seq", F.lit("seq is not unique").alias("reason"))
+        reason = F.when(F.col("seq").isNull(), "no seq").when(F.nullif("idempotency_key", F.lit("")).isNull(), "no idempotency key").when(F.col("created_at").isNull(), "no created_at")
+        return attempts.select("seq", reason.alias("reason")).where("reason IS NOT NULL").unionByName(twice)
+
+    def produce_checked(self, attempts: DataFrame, on_bad: str = "fail") -> list[tuple[int | None, str]]:
+        """``produce``, all or none: bad records fail the batch (the first one's seq is in the error), or are left out and given back with ``on_bad="evict"``."""
+        bad = [tuple(r) for r in self.bad_records(attempts).orderBy("seq").limit(1 if on_bad == "fail" else 100_000).collect()]
+        if bad and on_bad == "fail":
+            raise BadRecords(*bad[0])
+        good = attempts.join(self.bad_records(attempts).where("seq IS NOT NULL").select("seq").distinct(), "seq", "left_anti").where("seq IS NOT NULL") if bad else attempts
+        self.produce(good)
+        return bad
+
+    def produce_many(self, batches: list[DataFrame]) -> int:
+        """Append several producers' batches in one commit, in their order."""
+        rows = [b.withColumn("seq", F.col("seq") + F.lit(k << 40)) for k, b in enumerate(batches)]
+        return self.produce(functools.reduce(DataFrame.unionByName, rows))
+
     def produce(self, attempts: DataFrame) -> int:
         """Append messages (seq, idempotency_key, routing_key, compaction_key, compaction_rank, payload, created_at), keep their idempotency keys and heads: one commit. Duplicates are left out; empty keys count as null.
 

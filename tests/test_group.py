@@ -7,8 +7,11 @@ from datetime import datetime, timedelta
 import pytest
 
 from loomlog.admin import Admin
-from loomlog.sources.group import Group, LeaseLost
-from loomlog.sources.store import Conflict, Topic
+from loomlog.errors import BadRecords, Conflict, EngineError, InstanceLost, LeaseLost, NotEmpty, NotFound
+from loomlog.sources.group import Group
+from loomlog.sources.store import Topic
+from loomlog.sources.workers import Workers
+from loomlog.streaming import worker
 
 T = datetime(2024, 1, 1)
 MESSAGE = "seq long, idempotency_key string, routing_key string, compaction_key string, compaction_rank long, payload string, created_at timestamp_ntz"
@@ -221,3 +224,77 @@ def test_groups_of_the_facade(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_a_worker_tries_again_until_all_is_done_or_dead(spark, topic):
+    def handler(message):
+        n = message["message_id"]
+        if n == 3:
+            raise worker.Terminal("never")
+        if n == 4 and message["attempt"] < 2:
+            raise ValueError("not yet")
+        if n == 5:
+            raise RuntimeError("always")
+        if n == 6 and message["attempt"] == 0:
+            raise worker.Deferred
+        if n == 7 and message["attempt"] == 0:
+            import time
+
+            time.sleep(30)
+
+    group = Group(topic, 1, most_attempts=3)
+    work = worker.Worker(group, handler, batch=8, timeout=0.5)
+    assert work.drain(T) == 3  # the second attempts of 4 and 5 have failed at once, and wait
+    assert work.drain(at(100)) == 4 and work.drain(at(200)) == 20
+    assert statuses(group) == {3: ("dead", 0), 5: ("dead", 3)} and "always" in group.read("delivery").where("message_id = 5").head().last_error
+    assert [x[1:] for x in logged(group) if x[0] == 5] == [(k, "failure") for k in range(4)]
+    assert work.counters["dead"] == 2 and work.counters["success"] == 18 and work.counters["deferred"] == 1 and not work.step(at(300))
+
+
+def test_bad_records(spark, topic):
+    rows = [(1, "n1", None, None, 0, "p", T), (2, "", None, None, 0, "p", T), (3, "n3", None, None, 0, "p", None), (4, "n4", None, None, 0, "p", T), (4, "n5", None, None, 0, "p", T), (None, "n6", None, None, 0, "p", T)]
+    bad = spark.createDataFrame(rows, MESSAGE)
+    with pytest.raises(BadRecords):
+        topic.produce_checked(bad)
+    assert topic.head() == 20
+    assert topic.produce_checked(bad, on_bad="evict") == [(None, "no seq"), (2, "no idempotency key"), (3, "no created_at"), (4, "seq is not unique")]
+    assert topic.head() == 21
+    good = spark.createDataFrame(rows[:1], MESSAGE)
+    assert topic.produce_checked(good) == [] and topic.head() == 21  # a duplicate
+    two = [spark.createDataFrame([(i, f"{n}{i}", None, None, 0, f"{n}{i}", T) for i in (1, 2)], MESSAGE) for n in "ba"]
+    topic.produce_many(two)
+    assert [r.payload for r in topic.read_range(21, 99).orderBy("id").collect()] == ["b1", "b2", "a1", "a2"]
+
+
+def test_workers(spark, tmp_path):
+    workers, minute = Workers(Topic(spark, str(tmp_path / "c"))), timedelta(minutes=1)
+    key = workers.register("cron", target=1)
+    assert workers.register("cron", topic_id=3, target=-1) == key + 1 and workers.register("cron", target=1) == key
+    token = workers.claim(key, T, minute)
+    assert workers.claim(key, T, minute) is None and workers.claim(key + 1, T, minute) and workers.claim(key + 1, T, minute)
+    workers.renew(token, at(50), minute)
+    workers.record(token, False)
+    assert workers.instances().where(f"token = '{token}'").head().failures == 1
+    assert workers.claim(key, at(109), minute) is None and workers.claim(key, at(110), minute) is not None
+    with pytest.raises(InstanceLost):
+        workers.renew(token, at(111), minute)
+    with pytest.raises(NotFound):
+        workers.claim(99, T, minute)
+    workers.sweep(at(115))
+    assert workers.instances().count() == 1
+    workers.release(workers.instances().head().token)
+    assert workers.instances().isEmpty()
+
+
+def test_errors_have_codes_of_their_own():
+    found = EngineError.registry()
+    assert len(found) == len({k for k in found}) >= 9 and found["LL001"] is Conflict and Conflict.transient and not LeaseLost.transient
+    assert all(k.advice and k.__doc__ for c, k in found.items() if c != "LL000")
+
+
+def test_a_topic_with_messages_is_kept_unless_forced(spark, tmp_path):
+    admin = Admin(spark, str(tmp_path))
+    admin.register_topic("t").produce(spark.createDataFrame([(1, "a", None, None, 0, "p", T)], MESSAGE))
+    with pytest.raises(NotEmpty):
+        admin.destroy_topic("t", force=False)
+    assert admin.topic("t").head() == 1
