@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import letter_codes, ngram_counts, unit
+from .storage import small_batches
 from .tokens import slices
 
 BITS, ORDERS = 13, (1, 2, 3)
@@ -127,6 +128,7 @@ def sample_by_hash(rows: DataFrame, label: str, most: int) -> DataFrame:
 
 def train(docs: DataFrame, most: int = ROWS_PER_LANGUAGE) -> Model:
     """Learn from text and lang of the rows that aren't held out and have both; at most ``most`` rows a language reach the driver's fit."""
+    small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

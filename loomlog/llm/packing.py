@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import materialize, partitions_of, settle
+from .storage import materialize, partitions_of, settle, small_batches
 from .tokens import encoder, slices
 
 Pattern = tuple[int, ...]
@@ -245,6 +245,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", most: int = 2048
     are cut, others never. Repeated rows are packed as often as they occur; null and empty texts hold the end id
     alone; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     found = materialize(pieces(docs, tokenizer, most, end_id, with_ids), "pieces", partitions_of(docs.select("doc_id", "text")))
     counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(counts, most))

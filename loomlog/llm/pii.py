@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize, partitions_of, settle
+from .storage import materialize, partitions_of, settle, small_batches
 from .tokens import slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -145,6 +145,7 @@ def term_spans(text: str, spans: list[Span], terms: frozenset[str]) -> list[Span
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """entity and term of the pairs that exceed the threshold, counted over all rows of ``docs`` (text)."""
+    small_batches(docs.sparkSession)
     texts = docs.select("text")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +171,17 @@ def disclosing(docs: DataFrame) -> DataFrame:
     bits = table.tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crc = zlib.crc32
+        crc, n = zlib.crc32, Counter()
         for _, some in slices(batches):
-            n: Counter[str] = Counter()
             for text in some:
                 for word in {w.lower() for w in set(_WORD.findall(text))}:
                     b = crc(word.encode()) % BITS
                     if bits[b >> 3] >> (b & 7) & 1:
                         n[word] += 1
-            yield pa.record_batch({"term": pa.array(n.keys(), pa.string()), "n": pa.array(n.values(), pa.int64())})
+            if len(n) > 200_000:
+                yield pa.record_batch({"term": pa.array(n.keys(), pa.string()), "n": pa.array(n.values(), pa.int64())})
+                n.clear()
+        yield pa.record_batch({"term": pa.array(n.keys(), pa.string()), "n": pa.array(n.values(), pa.int64())})
 
     if not any(bits):
         return pairs.select("entity", "term")

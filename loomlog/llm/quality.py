@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from .features import ngram_counts, unit
 from .language import hash_of, sample_by_hash
+from .storage import small_batches
 from .tokens import slices
 
 BITS, ORDERS = 13, (1, 2, 3)
@@ -175,6 +176,7 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
             kinds = {"at": pa.list_(pa.int16()), "x": pa.list_(pa.float32()), "words": pa.list_(pa.string())}
             yield pa.record_batch({"doc_id": batch.column(0), "grade": batch.column(2)} | {k: pa.array([row[i] for row in found], kind) for i, (k, kind) in enumerate(kinds.items())})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(grades), "doc_id").select("doc_id", "text", "grade")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     rows = rows.withColumn("first", first).where("first = 1").select("doc_id", "text", "grade")

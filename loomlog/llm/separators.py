@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import new_path, partitions_of, settle
+from .storage import new_path, partitions_of, settle, small_batches
 from .tokens import encoder, slices
 
 #: Ids looked at together.
@@ -62,6 +62,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: i
     empty text is a separator alone, and a separator's string in a text is ordinary text. A null doc_id is kept; an empty table leaves empty folders.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     end = int(end_id).to_bytes(width, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,3 +54,10 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
     path = new_path(spark, name)
     settle(df, partitions).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold 8 MB at most, where the session has Spark's default of 64 MB: texts are long, and every Python step of a task has batches of its own in the JVM and in Python. The setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, "8m")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import new_path, partitions_of, settle, tasks
+from .storage import new_path, partitions_of, settle, small_batches, tasks
 from .tokens import encoder, slices
 
 MAGIC = b"LOOMTOK1"
@@ -92,6 +92,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: in
     empty table gives one file without documents. Texts are encoded before the shuffle, which moves compressed frames only.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
     docs = docs.withColumn("hash", F.xxhash64(F.monotonically_increasing_id()))
     sized = docs.select("doc_id", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))

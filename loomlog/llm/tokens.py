@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes (about: strings, ids and places in the table) of the parts kept per Python worker. Half is for parts in use; when that is full it becomes the other half, from which parts that are met again come back.
-MAX_PART_BYTES = 72_000_000
+MAX_PART_BYTES = 64_000_000
 #: Characters of text handed over at a time.
 SLICE_CHARS = 3_000_000
 

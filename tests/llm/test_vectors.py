@@ -61,13 +61,15 @@ def cluster_values(rng, n, bits):
 @pytest.mark.parametrize("radius", [4, 20])
 def test_trees_find_all_pairs(seed, radius):
     rng = random.Random(seed)
-    v = np.array(cluster_values(rng, 300, 8) * 2, np.uint64)  # equal ones, too
+    v = np.array(cluster_values(rng, 300, 8) * 2, np.uint64).reshape(-1, 1)  # equal ones, too
+    if radius > 4:
+        v = np.concatenate([v, np.roll(v, 1)], 1)
     rng.shuffle(tree := [i % 3 for i in range(len(v))])
     tree = np.array(tree)
     roots = np.array([int(np.flatnonzero(tree == k)[0]) for k in range(3)])
     forest = simhash.BKForest(v, roots[tree])
     got = [(int(a), int(b)) for q, n in forest.search(v, roots[tree], radius) for a, b in zip(q, n, strict=True)]
-    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(v)) for j in range(len(v)) if tree[i] == tree[j] and int(v[i] ^ v[j]).bit_count() <= radius}
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(v)) for j in range(len(v)) if tree[i] == tree[j] and sum(int(a ^ b).bit_count() for a, b in zip(v[i], v[j], strict=True)) <= radius}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -77,7 +79,7 @@ def test_links_of_runs(seed):
     rng.shuffle(order := list(range(len(v))))
     v, run, is_node = v[order], np.repeat([0, 1, 2, 3], 60), np.zeros(240, bool)
     is_node[70:100] = is_node[179] = True  # two runs of a tree and its queries
-    u, w = simhash.run_links(run, v, is_node, 4)
+    u, w = simhash.run_links(run, v.reshape(-1, 1), is_node, (2, 4))
     pairs = set(zip(u.tolist(), w.tolist(), strict=True))
 
     def near(i, j):
