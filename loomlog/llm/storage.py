@@ -21,14 +21,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths given out so far, for ``drop_made``.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/loomlog/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
 
 
+def made() -> int:
+    """How many paths have been given out: a mark for ``drop_made``."""
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int) -> None:
+    """Delete what lies at the paths given out since a mark: once a result that was worked out from them is written."""
+    for path in _made[since:]:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    del _made[since:]
+
+
 def tasks(spark: SparkSession, partitions: int) -> int:
     """Tasks that write a table of so many partitions: four for each core of the cluster, or as many as make eight partitions a task where that is more. A file per partition would mean mostly tiny files."""
     return max(4 * spark.sparkContext.defaultParallelism, -(-partitions // 8), 1)
