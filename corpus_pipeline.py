@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomlog.llm import decontamination, packing, pii, quality, simhash
-from loomlog.llm.storage import new_path
+from loomlog.llm.storage import drop_made, made, new_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +45,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to ``documents``."""
+    """All stages, applied to ``documents``. A stage's own intermediate tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        path, mark = new_path(spark, name), made()
         out = stage(spark, docs, sf_dir)
         if name == STAGES[-1][0]:
             return out
-        path = new_path(spark, name)
         out.write.parquet(path)
+        drop_made(spark, mark)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs
 
