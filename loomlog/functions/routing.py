@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,33 @@ def by_group(log: DataFrame, groups: list[int], bindings: dict[int, list[str]])
     return log.withColumn("group_id", F.explode(hit))
 
 
-def header_contains(headers: Column, wanted: dict[str, str]) -> Column:
-    """Whether a JSON object has all of the wanted (flat) entries; an empty wish is refused."""
+def header_contains(headers: Column, wanted: dict[str, Any]) -> Column:
+    """Whether a JSON object contains all of the wanted entries, with their types: objects by their entries, all the way down; strings, numbers, booleans and null by value; of lists, each wanted scalar among the elements (compared as text). An empty wish is refused."""
     if not wanted:
         raise ValueError("an empty header pattern would match everything")
-    out = F.lit(True)
-    for k, v in wanted.items():
-        out = out & F.coalesce(F.get_json_object(headers, f"$.{k}") == v, F.lit(False))
-    return out
+    return F.coalesce(_contains(F.try_parse_json(headers), "$", wanted), F.lit(False))
+
+
+def _contains(json: Column, path: str, wanted: Any) -> Column:
+    there = F.schema_of_variant(F.try_variant_get(json, path, "variant"))
+    if isinstance(wanted, dict):
+        out = F.coalesce(there.startswith("OBJECT"), F.lit(False))
+        for k, v in wanted.items():
+            quote = '"' if "'" in k else "'"
+            if quote in k:
+                raise ValueError(f"a header name with both kinds of quotes: {k!r}")
+            out = out & _contains(json, f"{path}[{quote}{k}{quote}]", v)
+        return out
+    if wanted is None:
+        hit = there == "VOID"
+    elif isinstance(wanted, list):
+        hit = F.lit(True)
+        for x in wanted:
+            hit = hit & F.array_contains(F.try_variant_get(json, path, "array<string>"), str(x).lower() if isinstance(x, bool) else str(x))
+    elif isinstance(wanted, bool):
+        hit = (there == "BOOLEAN") & (F.try_variant_get(json, path, "boolean") == wanted)
+    elif isinstance(wanted, (int, float)):
+        hit = ~there.isin("STRING", "BOOLEAN", "VOID") & (F.try_variant_get(json, path, "double") == float(wanted))
+    else:
+        hit = (there == "STRING") & (F.try_variant_get(json, path, "string") == wanted)
+    return F.coalesce(hit, F.lit(False))

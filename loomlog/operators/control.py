@@ -48,6 +48,18 @@ def worker_snapshot(workers: DataFrame, instances: DataFrame, owners: DataFrame)
     return rows.select("worker_id", "name", F.coalesce("topic_id", "owner_topic").alias("topic_id"), F.coalesce("n", F.lit(0)).alias("live"), F.coalesce("failing", F.lit(0)).alias("failing"), "oldest", "target")
 
 
+def workers_of(workers: DataFrame, groups: DataFrame, topics: DataFrame, system_id: int | None = None, topic_id: int | None = None, group_id: int | None = None) -> DataFrame:
+    """Workers (worker_id, name, system_id, topic_id, group_id) along an owner's chain: those of the group, of its topic and of its system, as far as they are given. A system by itself has all below it: of its topics (topic_id, system_id) and of their groups (group_id, owner_topic)."""
+    rows = workers.join(groups, "group_id", "left").withColumn("of_topic", F.coalesce("topic_id", "owner_topic"))
+    rows = rows.join(topics.select(F.col("topic_id").alias("of_topic"), F.col("system_id").alias("of_system")), "of_topic", "left")
+    own = F.lit(False)
+    for column, value in (("system_id", system_id), ("topic_id", topic_id), ("group_id", group_id)):
+        own = own | (F.col(column) == value) if value is not None else own
+    if topic_id is None and group_id is None:
+        own = own | (F.col("of_system") == system_id)
+    return rows.where(F.coalesce(own, F.lit(False))).select("worker_id", "name")
+
+
 def classify_alerts(rows: DataFrame, repeat_after: float) -> DataFrame:
     """Of an alert's last published state (head) and what an evaluation found: publish as active when new, changed in severity or long ago; publish as resolved; or nothing."""
     gone = F.col("head").isNull() | (F.col("head") == "resolved")

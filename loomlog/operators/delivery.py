@@ -90,10 +90,9 @@ def killed(deliveries: DataFrame, as_of: datetime, most: int) -> DataFrame:
 
 def advance(cursors: DataFrame, leases: DataFrame, deliveries: DataFrame) -> DataFrame:
     """committed of each group: the least of its lowest lease, the id before its first unresolved delivery and what is claimed; never less than before."""
-    low = leases.groupBy("group_id").agg(F.min("low").alias("lease_low"))
-    first = deliveries.where(F.col("status").isin("ready", "inflight", "deferred")).groupBy("group_id").agg((F.min("message_id") - 1).alias("resolved"))
-    rows = cursors.join(low, "group_id", "left").join(first, "group_id", "left")
-    return rows.select("group_id", "claimed", F.greatest("committed", F.least("lease_low", "resolved", "claimed")).alias("committed"))
+    held = leases.select("group_id", F.col("low").alias("bound")).unionAll(deliveries.where(F.col("status").isin("ready", "inflight", "deferred")).select("group_id", F.col("message_id") - 1))
+    bounds = held.groupBy("group_id").agg(F.min("bound").alias("bound"))  # one aggregation over both
+    return cursors.join(bounds, "group_id", "left").select("group_id", "claimed", F.greatest("committed", F.least("bound", "claimed")).alias("committed"))
 
 
 #: What becomes of a message whose handling had an outcome of some kind, and what is logged. Other kinds leave no delivery.

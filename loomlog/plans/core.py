@@ -90,9 +90,17 @@ def route_nats(x):
     return x.log.where(hit).select("id", routing.any_of(key, [routing.segments("events.*")]).alias("two"), routing.any_of(key, [routing.segments("events.>")]).alias("rest"))
 
 
-@R.add("route_header", "SELECT id FROM message_log WHERE json_extract_string(payload, '$.k') = '7'")
+@R.add("route_header", "SELECT id FROM message_log WHERE CAST(json_extract_string(payload, '$.k') AS INTEGER) = 7")
 def route_header(x):
-    return x.log.where(routing.header_contains(F.col("payload"), {"k": "7"})).select("id")
+    return x.log.where(routing.header_contains(F.col("payload"), {"k": 7})).select("id")
+
+
+@R.add("route_header_nested", "SELECT id FROM message_log WHERE routing_key LIKE '%.us' AND id % 3 = 0")
+def route_header_nested(x):
+    """Headers made of the routing key and the id: an object in an object, and a boolean."""
+    part = F.coalesce(F.regexp_extract("routing_key", "[^.]*$", 0), F.lit(""))
+    headers = F.to_json(F.struct(F.struct(part.alias("region"), F.lit(1).alias("v")).alias("route"), (F.col("id") % 3 == 0).alias("third")))
+    return x.log.where(routing.header_contains(headers, {"route": {"region": "us"}, "third": True})).select("id")
 
 
 @R.add("compacted_read", "SELECT m.id, m.compaction_key FROM message_log m LEFT JOIN head_of h ON h.compaction_key = m.compaction_key WHERE m.compaction_key IS NULL OR h.head_id = m.id")

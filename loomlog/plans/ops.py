@@ -120,6 +120,18 @@ def list_workers(x):
     return rows.where(F.coalesce("topic_id", "owner_topic").eqNullSafe(F.lit(10))).select("worker_id", "name")
 
 
+CW, CWORKERS = "worker_id long, name string, system_id long, topic_id long, group_id long", [(1, "message", None, None, 1), (2, "exception", None, None, 2), (3, "janitor", None, 10, None), (4, "scheduler", 1, None, None), (5, "janitor", None, 11, None), (6, "scheduler", 2, None, None), (7, "janitor", None, 12, None)]
+CT, CTOPICS = "topic_id long, system_id long", [(10, 1), (11, 1), (12, 2)]
+
+
+@R.add("workers_of_owners", f"WITH w AS {values(CW, CWORKERS)}, g AS {values(G, OWNERS)}, t AS {values(CT, CTOPICS)}, o AS {values('owner string, s long, t long, g long', [('system', 1, None, None), ('topic', 1, 10, None), ('group', 1, 11, 2)])} SELECT o.owner, w.worker_id, w.name FROM o, w LEFT JOIN g ON g.group_id = w.group_id LEFT JOIN t ON t.topic_id = coalesce(w.topic_id, g.owner_topic) WHERE w.system_id = o.s OR w.topic_id = o.t OR w.group_id = o.g OR (o.t IS NULL AND o.g IS NULL AND t.system_id = o.s)", prologue=False)
+def workers_of_owners(x):
+    """The workers that a system, a topic and a group have."""
+    tables = table(x, CW, CWORKERS), table(x, G, OWNERS), table(x, CT, CTOPICS)
+    found = [control.workers_of(*tables, **ids).withColumn("owner", F.lit(k)) for k, ids in (("system", {"system_id": 1}), ("topic", {"system_id": 1, "topic_id": 10}), ("group", {"system_id": 1, "topic_id": 11, "group_id": 2}))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("owner", "worker_id", "name")
+
+
 @R.add("expired_instances", WI + "SELECT worker_id, age FROM i WHERE age >= 9.0", prologue=False)
 def expired_instances(x):
     """Instances to sweep; the bound counts."""

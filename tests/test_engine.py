@@ -55,6 +55,15 @@ def test_routing(spark):
             routing.segments(bad)
 
 
+def test_header_containment(spark):
+    rows = ['{"a": {"b": {"c": 1, "d": "x"}, "n": null}, "t": true, "s": "1", "l": ["u", 3]}', '{"a": {"b": {"c": "1"}}, "t": "true", "s": 1}', "not json", "[]", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, headers string")
+    for wanted, ids in (({"a": {"b": {"c": 1}}}, [0]), ({"a": {"b": {"c": "1"}}}, [1]), ({"a": {}}, [0, 1]), ({"a": {"n": None}}, [0]), ({"t": True}, [0]), ({"t": "true"}, [1]), ({"s": 1}, [1]), ({"l": ["u"]}, [0]), ({"l": [3, "u"]}, [0]), ({"l": ["v"]}, []), ({"q'x": 1}, []), ({"a": {"b": {"c": 1, "d": "x"}}, "s": "1"}, [0])):
+        assert sorted(r.id for r in df.where(routing.header_contains(df.headers, wanted)).collect()) == ids, wanted
+    with pytest.raises(ValueError):
+        routing.header_contains(df.headers, {})
+
+
 @pytest.mark.parametrize("schedule", ["*/7 * * * *", "0 9 * * mon-fri", "15 10 1,15 * *", "0 0 13 * fri", "@daily", "TZ=Europe/Berlin 30 2 * * *"])
 def test_cron_against_a_search_by_minutes(schedule):
     from zoneinfo import ZoneInfo
