@@ -221,7 +221,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int, end_id: int = 0, with_ids
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, encoding=True):
             rows, ids = [], []
             for key, data in zip(batch.column(0).to_pylist(), encoder(tokenizer, 4).encode(texts), strict=True):
                 data += end

@@ -71,7 +71,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, width: i
         def rows() -> pa.RecordBatch:
             return pa.record_batch({"kind": ["ids", "docs"], "value": pa.array([end.join(ids), end.join(keys)], pa.binary())})
 
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, encoding=True):
             for key, own in zip(batch.column(0).to_pylist(), encoder(tokenizer, width, literal=True).encode(texts), strict=True):
                 if ids and held + len(own) > chunk:
                     yield rows()

@@ -340,7 +340,7 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, least: float = S
     found = materialize(own.mapInArrow(prints, "doc_id long, digest string, fp binary, shards array<long>").withColumn("node", F.monotonically_increasing_id()), "prints", partitions_of(own))
     nodes = found.groupBy("digest").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "nodes")
-    spread = found.select("node", F.explode("shards").alias("shard")).join(nodes.select("node"), "node", "left_semi")
+    spread = found.select("node", "shards").join(nodes.select("node"), "node", "left_semi").select("node", F.explode("shards").alias("shard"))
     shared = spread.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
     meeting = materialize(spread.join(shared, "shard").select("shard", "node").distinct(), "meeting")
     near = materialize(links(meeting.join(found.select("node", "fp"), "node"), SIMILAR_RADII, shards=meeting), "near")

@@ -106,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, width: in
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_checksum=False).compress
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, encoding=True):
             ids = [x + end for x in encoder(tokenizer, width).encode(texts)]
             key, has, mixed = batch.column(0), batch.column(1), batch.column(3)
             file = file_of(bounds, np.asarray(key), np.asarray(mixed))

@@ -13,6 +13,7 @@ it, and keeps the ids of each such part, so a part that was seen before isn't en
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import re
@@ -159,8 +160,10 @@ def encoder(name: str, width: int = 4, literal: bool = False) -> Encoder:
     return _encoders[key]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut so that each holds about ``most`` bytes of text at most (or one row), with the texts; null counts as empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_CHARS, encoding: bool = False) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Batches cut so that each holds about ``most`` bytes of text at most (or one row), with the texts; null counts as empty. Behind the last one, memory that is free again goes back to the system, as the worker is used for tasks of other kinds; encoders, which tasks that don't say ``encoding`` have no use for, go at the start of one."""
+    if not encoding:
+        _encoders.clear()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -170,3 +173,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             piece = batch.slice(lo, hi - lo)
             yield piece, [x or "" for x in piece.column(piece.schema.get_field_index(column)).to_pylist()]
+    _give_back()
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

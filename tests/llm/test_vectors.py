@@ -117,6 +117,33 @@ def test_shards_hold_all_pairs(radius):
         assert (simhash.shard_keys(x, radius, bands) == simhash.shard_keys(y, radius, bands)).any(1).all()
 
 
+def test_every_link_of_a_table_is_one_that_a_tree_gave(monkeypatch):
+    """Over all fingerprints of a test table: what shards link is what all pairs link, and each link came from a search."""
+    import pyarrow.parquet as pq
+
+    fp = np.unique(np.array([simhash.fingerprint(t or "") for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()], np.uint64))
+    keys = simhash.shard_keys(fp, 4, simhash.bands_for(len(fp), 4))
+    shard, of = keys.ravel(), np.repeat(np.arange(len(fp)), keys.shape[1])
+    order = np.argsort(shard, kind="stable")
+    _, run = np.unique(shard[order], return_inverse=True)
+    given, search = set(), simhash.BKForest.search
+
+    def counted(self, queries, root, radius):
+        for q, n in search(self, queries, root, radius):
+            given.update(zip(queries[q, 0].tolist(), self.values[n, 0].tolist(), strict=True))
+            yield q, n
+
+    monkeypatch.setattr(simhash.BKForest, "search", counted)
+    values = fp[of[order]]
+    u, v = simhash.run_links(run, values.reshape(-1, 1), np.zeros(len(run), bool), (4,))
+    pairs = set(zip(values[u].tolist(), values[v].tolist(), strict=True))
+    assert pairs and pairs <= given
+    index = {x: i for i, x in enumerate(fp.tolist())}
+    linked = {(index[a], index[b]) for a, b in pairs} | {(index[b], index[a]) for a, b in pairs}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    assert plain_components(range(len(fp)), lambda a, b: (a, b) in linked) == plain_components(range(len(fp)), lambda a, b: near[a, b])
+
+
 def sets_of(text):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
