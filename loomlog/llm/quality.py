@@ -8,7 +8,6 @@ a text holds any word that marks toxic documents among the well-formed ones, wha
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,40 +109,37 @@ def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 2e-4,
     return Model(theta[:d].astype(np.float32), np.cumsum(np.concatenate([theta[d : d + 1], np.exp(theta[d + 1 :])])))
 
 
-def marking_words(words: list[frozenset[str]], y: np.ndarray) -> frozenset[str]:
-    """Words that are in more of the toxic than of the other well-formed documents, by a log-likelihood ratio of MARKS at least. Documents of the same words count once."""
-    toxic, clean = ({w for w, g in zip(words, y.tolist(), strict=True) if g == k} for k in (1, 2))
+def marking_words(words: list[np.ndarray], y: np.ndarray, known: int) -> np.ndarray:
+    """Whether each of ``known`` words marks toxic documents: it is in more of them than of the other well-formed ones, by a log-likelihood ratio of MARKS at least. ``words``: the numbers of each document's words, ascending; documents of the same words count once."""
+    toxic, clean = (list({w.tobytes(): w for w, g in zip(words, y.tolist(), strict=True) if g == k}.values()) for k in (1, 2))
     if not toxic or not clean:
-        return frozenset()
-    in_toxic, in_clean = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
+        return np.zeros(known, bool)
+    a, b = (np.bincount(np.concatenate(docs), minlength=known).astype(np.float64) for docs in (toxic, clean))
     m, n = len(toxic), len(toxic) + len(clean)
-    a = np.array(list(in_toxic.values()), np.float64)
-    b = np.array([in_clean[w] for w in in_toxic], np.float64)
     cells = ((a, m, a + b), (b, n - m, a + b), (m - a, m, n - a - b), (n - m - b, n - m, n - a - b))
-    ratio = 2 * sum(k * np.log(np.maximum(k, 1e-9) * n / np.maximum(row * column, 1e-9)) for k, row, column in cells)
-    marks = (ratio >= MARKS) & (a * (n - m) > b * m)
-    return frozenset(w for w, mark in zip(in_toxic, marks.tolist(), strict=True) if mark)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * sum(k * np.log(np.maximum(k, 1e-9) * n / np.maximum(row * column, 1e-9)) for k, row, column in cells)
+    return (ratio >= MARKS) & (a * (n - m) > b * m) & (a > 0)
 
 
-def fit_marked(x: np.ndarray, y: np.ndarray, words: list[frozenset[str]]) -> Model:
-    """Fit on features and the feature of marking words."""
-    marks = marking_words(words, y)
-    held = np.array([not marks.isdisjoint(w) for w in words], np.float32)
-    model = fit(np.concatenate([x, held[:, None]], 1), y)
-    model.marks = marks
-    return model
+def fit_marked(x: np.ndarray, y: np.ndarray, words: list[np.ndarray], known: int) -> tuple[Model, np.ndarray]:
+    """Fit on features and, in the last column of ``x``, the feature of marking words, which is filled in here; and which words they are."""
+    marks = marking_words(words, y, known)
+    x[:, -1] = [marks[w].any() for w in words]
+    return fit(x, y), marks
 
 
-def least_best(x: np.ndarray, y: np.ndarray, words: list[frozenset[str]]) -> float:
+def least_best(x: np.ndarray, y: np.ndarray, words: list[np.ndarray], known: int) -> float:
     """The P(grade >= 2) that tells toxic from other well-formed documents best, each scored by the model of the other half, of those that CLEAN_KEPT of the latter reach. 0, which rejects none, where a half has no toxic or no other well-formed documents."""
     best, part = np.zeros(len(y)), np.arange(len(y)) % 2
     for k in (0, 1):
         learn, held = np.flatnonzero(part == k), np.flatnonzero(part != k)
         if not {1, 2} <= set(y[learn].tolist()):
             return 0.0
-        model = fit_marked(x[learn], y[learn], [words[i] for i in learn])
-        marked = np.array([not model.marks.isdisjoint(words[i]) for i in held], np.float32)
-        best[held] = model.best_of(np.concatenate([x[held], marked[:, None]], 1))
+        model, marks = fit_marked(x[learn], y[learn], [words[i] for i in learn], known)
+        x[held, -1] = [marks[words[i]].any() for i in held]
+        for lo in range(0, len(held), 256):
+            best[held[lo : lo + 256]] = model.best_of(x[held[lo : lo + 256]])
     toxic, clean = np.sort(best[y == 1]), np.sort(best[y == 2])
     at = np.concatenate([[0.0], clean[: int((1 - CLEAN_KEPT) * len(clean)) + 1]])
     gain = np.searchsorted(toxic, at) / len(toxic) - np.searchsorted(clean, at) / len(clean)
@@ -186,12 +182,16 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
     y = np.array([found["grade"][i].as_py() for _, i in first], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    x = np.zeros((len(first), 1 << BITS), np.float32)
+    x = np.zeros((len(first), (1 << BITS) + 1), np.float32)
+    at, value, spelled = (found[c].combine_chunks() for c in ("at", "x", "words"))
+    flat = spelled.flatten().dictionary_encode()
+    numbers, edges = np.asarray(flat.indices), np.asarray(spelled.offsets)
     for k, (_, i) in enumerate(first):
-        x[k, found["at"][i].values.to_numpy()] = found["x"][i].values.to_numpy()
-    words = [frozenset(found["words"][i].as_py()) for _, i in first]
-    model = fit_marked(x, y, words)
-    model.least_best = least_best(x, y, words)
+        x[k, at[i].values.to_numpy()] = value[i].values.to_numpy()
+    words = [np.sort(numbers[edges[i] - edges[0] : edges[i + 1] - edges[0]]) for _, i in first]
+    threshold = least_best(x, y, words, len(flat.dictionary))
+    model, marks = fit_marked(x, y, words, len(flat.dictionary))
+    model.marks, model.least_best = frozenset(flat.dictionary.filter(pa.array(marks)).to_pylist()), threshold
     return model
 
 
