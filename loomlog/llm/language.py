@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .features import letter_codes, ngram_counts, unit
-from .storage import small_batches
+from .storage import materialize, small_batches
 from .tokens import slices
 
 BITS, ORDERS = 13, (1, 2, 3)
 #: Labelled rows per language that the model learns from, at most; they are chosen by a hash of doc_id.
 ROWS_PER_LANGUAGE = 300
+#: Labels up to which their counts are sent to all executors, so that no text is shuffled; more are joined.
+MOST_LABELS = 100_000
 #: Families of common languages. A language that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -119,7 +121,8 @@ def held_out() -> Column:
 
 def sample_by_hash(rows: DataFrame, label: str, most: int) -> DataFrame:
     """About ``most`` rows (doc_id, ``label`` and others) of each label (a few more; all, if there are fewer), those whose hash of doc_id is low; of rows that share doc_id and label one. Counts come first, so nothing is shuffled but them and what is chosen."""
-    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))
+    counts = materialize(rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n")), "labels")
+    counts = F.broadcast(counts) if counts.count() <= MOST_LABELS else counts
     share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40))
     low = rows.join(counts, F.col(label) == F.col("__label")).where(share <= F.least(F.lit(1.0), F.lit(1.1 * most + 20) / F.col("__n")) * float(1 << 40)).drop("__label", "__n")
     rank = F.row_number().over(Window.partitionBy(label, "doc_id").orderBy(F.xxhash64(*(F.col(c) for c in rows.columns))))
