@@ -9,6 +9,9 @@ it, and keeps the ids of each such part, so a part that was seen before isn't en
 * tokenizers that drop white space and case: at spaces and line feeds and before such punctuation, after
   lower-casing texts of Latin letters, for which normalising changes nothing else;
 * any other tokenizer: nowhere.
+
+For byte-level tokenizers the parts of many texts are cut and counted as arrays, and the words that occur in them go
+to the model together, strung into one, each once (``_Strung``).
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ import pyarrow.compute as pc
 MAX_PART_BYTES = 64_000_000
 #: Characters of text handed over at a time.
 SLICE_CHARS = 3_000_000
+#: Words strung into one for the model.
+STRUNG = 500
 
 _NULL = "\x00"
 assert sys.byteorder == "little" and array("I").itemsize == 4
@@ -69,6 +74,9 @@ class Encoder:
             raise ValueError(f"ids of {name} need more than two bytes")
         self.kind = self._kind(spec)
         self.parts = _Parts(self, most)
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+        merges = spec["model"].get("type", "BPE") == "BPE" and not any(spec["model"].get(x) for x in odd)
+        self.strung = _Strung(self, spec["model"]["vocab"]) if self.kind == "bytes" and merges else None
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -84,7 +92,7 @@ class Encoder:
 
     def _split(self, text: str) -> list[str] | None:
         """The parts of a text, or None if it has to be encoded as a whole."""
-        if self.added and "<" in text and any(t in text.lower() for t in self.added):
+        if self._special(text):
             return None
         if self.kind == "words":
             if not text.isascii() and _FAR.search(text):
@@ -94,6 +102,9 @@ class Encoder:
             return None
         return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split(_NULL)
 
+    def _special(self, text: str) -> bool:
+        return "<" in text and any(t in text.lower() for t in self.added)
+
     def _plain(self, part: str) -> bool:
         """Whether the tokenizer's own normaliser and split leave the part as it is: (a space and) Latin letters, for some tokenizers lower-case ones."""
         if part.isascii():
@@ -104,13 +115,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get, out, whole = self.parts.__getitem__, [], []
-        for i, text in enumerate(texts):
-            split = self._split(text)
-            if split is None:
-                whole.append(i)
-                out.append(b"")
-            else:
-                out.append(b"".join(map(get, split)))
+        if self.strung:
+            whole = [i for i, text in enumerate(texts) if _SPACES.search(text) or self._special(text)]
+            out, skipped = [b""] * len(texts), set(whole)
+            cut = [i for i in range(len(texts)) if i not in skipped]
+            for i, packed in zip(cut, self.strung.encode([texts[i] for i in cut]), strict=True):
+                out[i] = packed
+        else:
+            for i, text in enumerate(texts):
+                split = self._split(text)
+                if split is None:
+                    whole.append(i)
+                    out.append(b"")
+                else:
+                    out.append(b"".join(map(get, split)))
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = array(self.code, e.ids).tobytes()
         return out
@@ -147,6 +165,102 @@ class _Parts(dict):
         return packed
 
 
+def _bytes_of(chars: str) -> np.ndarray:
+    """By byte, whether it is one of these."""
+    table = np.zeros(256, dtype=bool)
+    table[list(chars.encode("latin-1"))] = True
+    return table
+
+
+_LETTER = _bytes_of("".join(chr(x) for x in range(128) if chr(x).isalpha()))
+_MARK = _bytes_of(_MARKS)
+#: First bytes, of two, of the letters U+00C0 to U+023F (and of the signs U+00D7 and U+00F7 among them).
+_LEAD = _bytes_of("\xc3\xc4\xc5\xc6\xc7\xc8")
+_CHAR_OF_BYTE = np.array([_BYTE_CHARS[b] for b in range(256)], dtype="<u4")
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By byte, whether it belongs to a Latin letter, and whether one ends with it."""
+    lead = _LEAD[data]
+    lead[:-1] &= ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    end = _LETTER[data]
+    end[1:] |= lead[:-1]
+    return lead | end, end
+
+
+class _Strung:
+    """Ids of texts without special tokens and without two white-space characters in a row, for byte-level tokenizers that only merge, by the words that occur in them.
+
+    Words of a space and Latin letters are what the split leaves as it is; ``STRUNG`` at a time they are strung into
+    one for the model. A word's only space is its first character: if as many tokens as there are words start with
+    one, none reaches over the end of a word, so merging in one word changed nothing in another. Otherwise, and for
+    any other part, the part is encoded alone.
+    """
+
+    def __init__(self, owner: Encoder, vocab: dict[str, int]):
+        from tokenizers import Tokenizer
+
+        self.parts, self.dtype = owner.parts, np.dtype(f"<u{owner.width}")
+        self.model = Tokenizer(owner.tokenizer.model)  # shared; no split and no special tokens
+        self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts[[i for t, i in vocab.items() if t.startswith(chr(_BYTE_CHARS[32]))]] = True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        raw = [x.encode() for x in texts]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        if not len(data):
+            return [b""] * len(texts)
+        first, words = self._cut(data, np.cumsum(sizes) - sizes)
+        ids, n = self._encode(words.dictionary)
+        which = words.indices.to_numpy()
+        lens = n[which]
+        ends = np.cumsum(lens)
+        at = (np.cumsum(n) - n)[which] - (ends - lens)
+        packed = ids[np.repeat(at, lens) + np.arange(ends[-1])].tobytes()
+        upto = np.concatenate(([0], ends))[np.searchsorted(first, np.concatenate(([0], np.cumsum(sizes))))] * self.dtype.itemsize
+        return [packed[lo:hi] for lo, hi in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
+
+    @staticmethod
+    def _cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+        """Where the parts begin, and the parts as a dictionary: cut at texts' begins, before spaces, around line feeds, and between Latin letters and the punctuation behind them."""
+        _, end = _letters(data)
+        new = (data == 32) | (data == 10)
+        new[1:] |= (data[:-1] == 10) | (end[:-1] & _MARK[data[1:]])
+        new[begins[begins < len(data)]] = True
+        first = np.flatnonzero(new)
+        offsets = np.append(first, len(data)).astype(np.int32)
+        return first, pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+
+    def _encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one behind the other, and how many each has."""
+        offsets = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], dtype=np.uint8)[: offsets[-1]]
+        letter, lens = _letters(data)[0], np.diff(offsets)
+        plain = (data[offsets[:-1]] == 32) & (lens > 1) & (np.add.reduceat(letter, offsets[:-1], dtype=np.int64) == lens - 1)
+        strung, alone = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        text = _CHAR_OF_BYTE[data[np.repeat(plain, lens)]].tobytes().decode("utf-32-le")
+        cuts = np.concatenate(([0], np.cumsum(lens[strung])))
+        n, found = np.zeros(len(words), dtype=np.int64), []
+        groups = range(0, len(strung), STRUNG)
+        for k, e in zip(groups, self.model.encode_batch_fast([text[cuts[k] : cuts[min(k + STRUNG, len(strung))]] for k in groups], add_special_tokens=False), strict=True):
+            some, ids = strung[k : k + STRUNG], np.array(e.ids, dtype=self.dtype)
+            begins = np.flatnonzero(self.starts[ids])
+            if len(begins) == len(some):
+                n[some] = np.diff(begins, append=len(ids))
+                found.append((some, ids))
+            else:
+                alone += some.tolist()
+        packed = [self.parts[x] for x in words.take(pa.array(alone, pa.int64())).to_pylist()]
+        n[alone] = [len(x) // self.dtype.itemsize for x in packed]
+        found.append((np.array(alone, dtype=np.int64), np.frombuffer(b"".join(packed), dtype=self.dtype)))
+        out, begin = np.empty(n.sum(), dtype=self.dtype), np.cumsum(n) - n
+        for some, ids in found:
+            own = n[some]
+            out[np.repeat(begin[some] - (np.cumsum(own) - own), own) + np.arange(len(ids))] = ids
+        return out, n
+
+
 _encoders: dict[tuple[str, int, bool], Encoder] = {}
 
 

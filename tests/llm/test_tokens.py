@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -60,6 +62,49 @@ def test_a_separators_string_in_a_text():
     assert 50256 not in np.frombuffer(tokens.encoder("byte_bpe_50k.json", 4, literal=True).encode(["<|endoftext|>"])[0], "<u4").tolist()
 
 
+WORDS = st.lists(st.tuples(st.sampled_from([" ", "\n", "", " ", ","]), st.text(alphabet="abÀÖ×Øàö÷øȿɀɏʰªµº\xa0.,'-9", min_size=1, max_size=4)).map("".join), max_size=12).map("".join)
+
+
+@pytest.mark.parametrize("strung", [2, 500])
+@settings(max_examples=150, deadline=None)
+@given(texts=st.lists(WORDS, max_size=6))
+def test_strung_words_are_the_library(strung, texts):
+    if strung not in _ENCODERS:
+        _ENCODERS[strung], _LIBRARIES[strung] = tokens.Encoder("byte_bpe_50k.json", 4), library("byte_bpe_50k.json")
+    known, ids_of = _ENCODERS[strung], _LIBRARIES[strung]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "STRUNG", strung)
+        assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [ids_of(t) for t in texts]
+
+
+def test_new_words_go_to_the_model_together():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, text):
+            self.calls += 1
+            return self.model.tokenize(text)
+
+    rnd = random.Random(3)
+    texts = ["Start " + " ".join("".join(rnd.choices("aeilnorstéü", k=9)) + rnd.choice(["", ",", "."]) for _ in range(400)) for _ in range(10)]
+    known, ids_of = tokens.Encoder("byte_bpe_50k.json", 4), library("byte_bpe_50k.json")
+    known.parts.model = model = Counting(known.parts.model)
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [ids_of(t) for t in texts]
+    assert model.calls < 10 and len(known.parts) < 10
+
+
+@pytest.mark.parametrize("model", [{"merges": [["a", "Ġ"], ["Ġ", "b"], ["Ġb", "a"]]}, {"merges": [["Ġ", "b"]], "ignore_merges": True}])
+def test_merges_over_spaces_and_words_without_merging(tmp_path, model):
+    spec = json.loads(Path(tokens.tokenizer_file("byte_bpe_50k.json")).read_text())
+    chars = [chr(c) for c in tokens._BYTE_CHARS.values()]
+    spec["model"] |= {"vocab": {t: i for i, t in enumerate([*chars, "aĠ", "Ġb", "Ġba", "Ġbab"])}} | model
+    (path := tmp_path / "t.json").write_text(json.dumps(spec))
+    texts = ["a ba bab a, ba ab aa", "", " ba bb é bab."]
+    known, ids_of = tokens.Encoder(str(path), 4), library(str(path))
+    assert [np.frombuffer(x, "<u4").tolist() for x in known.encode(texts)] == [ids_of(t) for t in texts]
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path, ids_of = str(tmp_path / "t"), library("word_bpe_49k.json")
     token_files.write(docs(spark), path, "word_bpe_49k.json", docs_per_file=3)
