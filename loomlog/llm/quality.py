@@ -19,11 +19,13 @@ from pyspark.sql.window import Window
 from .features import ngram_counts, unit
 from .language import hash_of, sample_by_hash
 from .storage import small_batches
-from .tokens import slices
+from .tokens import give_back, slices
 
 BITS, ORDERS = 13, (1, 2, 3)
 #: Labelled rows of each grade that the model learns from, at most.
 ROWS_PER_GRADE = 800
+#: Rows that a product of the fit goes through at once.
+ROWS_AT_ONCE = 128
 #: Grades: 0 poor, 1 well-formed but toxic, 2 well-formed.
 GRADES = 3
 #: A document is well-formed (keep) if P(grade >= KEEP_GRADE) is KEEP_SHARE at least.
@@ -86,7 +88,51 @@ class Model:
         return _sigmoid(x @ self.weights - self.thresholds[-1])
 
 
-def fit(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = 2e-4, steps: int = 300, rate: float = 0.3) -> Model:
+class Rows:
+    """Rows of features of which most are zero (``at``: the columns of the others, ``value``, ``edges``: where each row's begin and end), and a last column, ``marked``, that is there whole.
+
+    Both products go through ROWS_AT_ONCE rows at a time: the whole table of the learned rows would be many times as large.
+    """
+
+    __array_ufunc__ = None  # so that ``array @ rows`` is the product below
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, edges: np.ndarray, marked: np.ndarray, columns: int):
+        self.at, self.value, self.edges, self.marked, self.shape = at, value, edges, marked, (len(marked), columns + 1)
+
+    def __len__(self) -> int:
+        return len(self.marked)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        size = np.diff(self.edges)[rows]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        at, value = np.empty(edges[-1], self.at.dtype), np.empty(edges[-1], np.float32)
+        for k, i in enumerate(rows.tolist()):
+            at[edges[k] : edges[k + 1]], value[edges[k] : edges[k + 1]] = self.at[self.edges[i] : self.edges[i + 1]], self.value[self.edges[i] : self.edges[i + 1]]
+        return Rows(at, value, edges, self.marked[rows], self.shape[1] - 1)
+
+    def _parts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First row, columns, values and inner edges of some rows."""
+        for lo in range(0, len(self), ROWS_AT_ONCE):
+            edges = self.edges[lo : lo + ROWS_AT_ONCE + 1]
+            yield lo, self.at[edges[0] : edges[-1]], self.value[edges[0] : edges[-1]], edges - edges[0]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        out = self.marked * w[-1]
+        for lo, at, value, edges in self._parts():
+            some = np.flatnonzero(np.diff(edges))
+            if len(some):
+                out[lo + some] += np.add.reduceat(value * w[at], edges[some])
+        return out
+
+    def __rmatmul__(self, g: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.shape[1])
+        for lo, at, value, edges in self._parts():
+            out[:-1] += np.bincount(at, value * np.repeat(g[lo : lo + len(edges) - 1], np.diff(edges)), self.shape[1] - 1)
+        out[-1] = g @ self.marked
+        return out
+
+
+def fit(x: np.ndarray | Rows, y: np.ndarray, grades: int = GRADES, ridge: float = 2e-4, steps: int = 300, rate: float = 0.3) -> Model:
     """Least negative log-likelihood with an L2 penalty, by Adam on all rows; each grade weighs the same. Thresholds rise by exp of free parameters."""
     count = np.bincount(y, minlength=grades)
     weight = (1 / np.maximum(count, 1))[y] / max((count > 0).sum(), 1)
@@ -122,24 +168,24 @@ def marking_words(words: list[np.ndarray], y: np.ndarray, known: int) -> np.ndar
     return (ratio >= MARKS) & (a * (n - m) > b * m) & (a > 0)
 
 
-def fit_marked(x: np.ndarray, y: np.ndarray, words: list[np.ndarray], known: int) -> tuple[Model, np.ndarray]:
+def fit_marked(x: Rows, y: np.ndarray, words: list[np.ndarray], known: int) -> tuple[Model, np.ndarray]:
     """Fit on features and, in the last column of ``x``, the feature of marking words, which is filled in here; and which words they are."""
     marks = marking_words(words, y, known)
-    x[:, -1] = [marks[w].any() for w in words]
+    x.marked[:] = [marks[w].any() for w in words]
     return fit(x, y), marks
 
 
-def least_best(x: np.ndarray, y: np.ndarray, words: list[np.ndarray], known: int) -> float:
+def least_best(x: Rows, y: np.ndarray, words: list[np.ndarray], known: int) -> float:
     """The P(grade >= 2) that tells toxic from other well-formed documents best, each scored by the model of the other half, of those that CLEAN_KEPT of the latter reach. 0, which rejects none, where a half has no toxic or no other well-formed documents."""
     best, part = np.zeros(len(y)), np.arange(len(y)) % 2
     for k in (0, 1):
         learn, held = np.flatnonzero(part == k), np.flatnonzero(part != k)
         if not {1, 2} <= set(y[learn].tolist()):
             return 0.0
-        model, marks = fit_marked(x[learn], y[learn], [words[i] for i in learn], known)
-        x[held, -1] = [marks[words[i]].any() for i in held]
-        for lo in range(0, len(held), 256):
-            best[held[lo : lo + 256]] = model.best_of(x[held[lo : lo + 256]])
+        model, marks = fit_marked(x.take(learn), y[learn], [words[i] for i in learn], known)
+        rest = x.take(held)
+        rest.marked[:] = [marks[words[i]].any() for i in held]
+        best[held] = model.best_of(rest)
     toxic, clean = np.sort(best[y == 1]), np.sort(best[y == 2])
     at = np.concatenate([[0.0], clean[: int((1 - CLEAN_KEPT) * len(clean)) + 1]])
     gain = np.searchsorted(toxic, at) / len(toxic) - np.searchsorted(clean, at) / len(clean)
@@ -182,16 +228,20 @@ def train(docs: DataFrame, rated: DataFrame, most: int = ROWS_PER_GRADE) -> Mode
     y = np.array([found["grade"][i].as_py() for _, i in first], dtype=np.int64)
     if len(set(y.tolist())) < 2:
         return None
-    x = np.zeros((len(first), (1 << BITS) + 1), np.float32)
-    at, value, spelled = (found[c].combine_chunks() for c in ("at", "x", "words"))
+    spelled = found["words"].combine_chunks()
     flat = spelled.flatten().dictionary_encode()
-    numbers, edges = np.asarray(flat.indices), np.asarray(spelled.offsets)
-    for k, (_, i) in enumerate(first):
-        x[k, at[i].values.to_numpy()] = value[i].values.to_numpy()
+    known, numbers, edges = flat.dictionary, np.asarray(flat.indices), np.asarray(spelled.offsets)
     words = [np.sort(numbers[edges[i] - edges[0] : edges[i + 1] - edges[0]]) for _, i in first]
-    threshold = least_best(x, y, words, len(flat.dictionary))
-    model, marks = fit_marked(x, y, words, len(flat.dictionary))
-    model.marks, model.least_best = frozenset(flat.dictionary.filter(pa.array(marks)).to_pylist()), threshold
+    at, value = (found[c].combine_chunks() for c in ("at", "x"))
+    edges = np.asarray(at.offsets).astype(np.int64)
+    x = Rows(at.flatten().to_numpy(), value.flatten().to_numpy(), edges - edges[0], np.zeros(len(at), np.float32), 1 << BITS).take(np.array([i for _, i in first]))
+    del found, spelled, flat, numbers, at, value  # the fit takes far longer than all of this
+    give_back()
+    threshold = least_best(x, y, words, len(known))
+    model, marks = fit_marked(x, y, words, len(known))
+    model.marks, model.least_best = frozenset(known.filter(pa.array(marks)).to_pylist()), threshold
+    del x, words
+    give_back()
     return model
 
 

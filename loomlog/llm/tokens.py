@@ -287,10 +287,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             piece = batch.slice(lo, hi - lo)
             yield piece, [x or "" for x in piece.column(piece.schema.get_field_index(column)).to_pylist()]
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return memory that is free to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -7,10 +7,12 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,6 +95,29 @@ def test_quality_edges(spark):
     assert quality.select(table, model).columns == table.columns
 
 
+def test_quality_fit_takes_little_memory_on_the_driver(spark):
+    table, rated = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), quality.ratings(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    tracemalloc.start()
+    try:
+        assert quality.train(table, rated).marks
+        assert tracemalloc.get_traced_memory()[1] < 60e6  # a whole table of the rows' features: 110 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_products_of_rows():
+    rng = np.random.default_rng(5)
+    whole = (rng.random((2 * quality.ROWS_AT_ONCE + 7, 33)) * (rng.random((2 * quality.ROWS_AT_ONCE + 7, 33)) < 0.2)).astype(np.float32)
+    whole[[0, 5, 6, quality.ROWS_AT_ONCE, -1], :-1] = 0
+    whole[quality.ROWS_AT_ONCE : 2 * quality.ROWS_AT_ONCE, :-1] = 0  # no value in all rows of a part
+    rows, at = np.nonzero(whole[:, :-1])
+    some = quality.Rows(at.astype(np.int16), whole[rows, at], np.searchsorted(rows, np.arange(len(whole) + 1)), whole[:, -1].copy(), 32)
+    order = rng.permutation(len(whole))[:200]
+    for x, same in ((some, whole), (some.take(order), whole[order]), (some.take(order[:0]), whole[:0])):
+        w, g = rng.random(33).astype(np.float32), rng.random(len(x)).astype(np.float32)
+        assert x.shape == same.shape and np.allclose(x @ w, same @ w, atol=1e-5) and np.allclose(g @ x, g @ same, atol=1e-4)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
