@@ -66,11 +66,11 @@ def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.coalesce(tasks(spark, int(spark.conf.get("spark.sql.shuffle.partitions")) if partitions is None else partitions))
 
 
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder, settled, and read it back."""
+def materialize(df: DataFrame, name: str, partitions: int | None = None, **options: object) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder, settled and with these options, and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    settle(df, partitions).write.parquet(path)
+    settle(df, partitions).write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

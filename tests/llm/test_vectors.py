@@ -298,6 +298,48 @@ def test_top_k_of_few_and_odd_vectors(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("group", "block"), [(7, 64), (131_072, 2_048)])
+def test_top_k_broadcasts_nothing_and_answers_in_groups(spark, monkeypatch, group, block):
+    """Spark estimates exploded query packs as unexploded ones: a join with them was one by broadcast, and the driver held a pack for every block."""
+    monkeypatch.setattr(topk, "QUERY_GROUP", group)
+    monkeypatch.setattr(topk, "DATA_BLOCK", block)
+    monkeypatch.setattr(topk, "SEEDS", 50)
+    rng = random.Random(12)
+    vectors = [(i, [rng.randrange(-9, 10) * (1 + i % 7 * 100) for _ in range(5)]) for i in range(800)]
+    vectors += [(1000 + i, vectors[10][1]) for i in range(300)]  # many ties
+    df = spark.createDataFrame(vectors, "vec_id long, v array<long>").repartition(5)
+    found = topk.top_k(df, df.where("vec_id % 20 = 0"), 10)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(vectors, [(i, v) for i, v in vectors if i % 20 == 0], 10)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("high", [3, 1_000, 10**5, 10**8, 2**30])
+@pytest.mark.parametrize("shape", ["spread", "near", "ties"])
+def test_asked_over_many_blocks(monkeypatch, high, shape):
+    """Products in floats of either width, longs and Python's integers, over several blocks, against sums of Python's integers."""
+    monkeypatch.setattr(topk, "BUCKET", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(high)
+    x = rng.integers(-high, high + 1, (600, 6))
+    if shape == "near":  # high cosines: a coordinate prunes
+        x = rng.integers(-high, high + 1, (8, 6))[np.arange(600) % 8] + rng.integers(-high // 50, high // 50 + 1, (600, 6))
+    elif shape == "ties":
+        x[::2] = x[0]
+    ids = rng.permutation(600) // 2 * 2  # each twice
+    own = np.concatenate([ids[:40], [10_000]])
+    q = np.concatenate([x[:40], np.zeros((1, 6), np.int64)])
+    asked = topk.Asked(own, q, 10)
+    for lo in range(0, 600, 150):
+        asked.meet(ids[lo : lo + 150], x[lo : lo + 150])
+    number, found, score = (a.tolist() for a in asked.found())
+    got = list(zip(number, found, score, strict=True))
+    want = []
+    for n, (key, v) in enumerate(zip(own.tolist(), q.tolist(), strict=True)):
+        want += [(n, i, -s) for s, i in sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in zip(ids.tolist(), x.tolist(), strict=True) if i != key)[:10]]
+    assert got == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
